@@ -76,3 +76,34 @@ def block_count(docs: DataFrame, text: str, bytes_per_block: int) -> int:
     """How many blocks of about ``bytes_per_block`` bytes of text a table makes; one at least."""
     total = docs.select(F.sum(F.octet_length(text_or_empty(text))).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // bytes_per_block))
+
+
+class WordCache:
+    """What a worker knows of words it has met: two generations of a bounded dict.
+
+    ``learn`` maps a list of new words to their values.  Once the young
+    generation is full it becomes the old one; words met again move back.
+    """
+
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit = learn, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, texts: list[list[str]]):
+        """A function from word to value that knows all words of these cut texts."""
+        words = set()
+        for t in texts:
+            words.update(t)
+        if len(self.young) + len(words) > self.limit:
+            self.young, self.old = {}, self.young
+        missing = words.difference(self.young)
+        if self.old and missing:
+            old = self.old
+            for w in missing.intersection(old):
+                self.young[w] = old[w]
+            missing.difference_update(old)
+        if missing:
+            new = list(missing)
+            self.young.update(zip(new, self.learn(new), strict=True))
+        return self.young.__getitem__

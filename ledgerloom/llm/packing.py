@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import WordCache, materialize, text_or_empty
 
 CAPACITY = 2048
 #: Chunks of text whose ids a worker keeps between batches.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 500_000
 
 
 class ChunkTokenizer:
@@ -48,38 +48,32 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.fence_text = "<|endoftext|>"
         self.fence = self.tokenizer.token_to_id(self.fence_text)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        for lo in range(0, len(plain), 5000):
-            part = plain[lo : lo + 5000]
-            ids = np.array(
-                self.tokenizer.encode(f" {self.fence_text} ".join(part), add_special_tokens=False).ids, dtype="<u4"
-            )
+        self.cache = WordCache(self._learn, CACHE_CHUNKS)
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(chunks), 5000):
+            part = chunks[lo : lo + 5000]
+            if any("<|" in c for c in part):  # a special token in a text is one there too
+                out += [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in part]
+                continue
+            joined = f" {self.fence_text} ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(ids == self.fence)
             assert len(cut) == len(part) - 1
-            ends = np.r_[cut, len(ids)].tolist()
             raw, at = ids.tobytes(), 0
-            for c, end in zip(part, ends, strict=True):
-                self.known[c] = raw[4 * at : 4 * end]
-                at = end + 1
-        for c in chunks:
-            if "<|" in c:
-                self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for end in (4 * np.r_[cut, len(ids)]).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for lo in range(0, len(texts), 256):
             cut = [t.replace("\n", " ").split(" ") for t in texts[lo : lo + 256]]
-            known = self.known
-            new = list({w for c in cut for w in c if w not in known})
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-                new = list({w for c in cut for w in c})
-            self._learn(new)
+            known = self.cache.get(cut)
             for c in cut:
-                yield b"".join(map(known.__getitem__, c))
+                yield b"".join(map(known, c))
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import WordCache, text_or_empty
 
 MARK = "▁"
 NO_PAIR = np.int64(1 << 40)
 #: Distinct words that a worker keeps between batches.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 
 class Vocabulary:
@@ -58,24 +58,53 @@ class Vocabulary:
                     keys.append((a << 20) | b)
                     ranks.append(order[score[i]])
                     merged.append(i)
-        at = np.argsort(np.array(keys, dtype=np.int64))
-        self.keys = np.array(keys, dtype=np.int64)[at]
-        self.ranks = np.array(ranks, dtype=np.int64)[at]
-        self.merged = np.array(merged, dtype=np.int64)[at]
+        self._fill(np.array(keys, dtype=np.int64), np.array(ranks, dtype=np.int64), np.array(merged, dtype=np.int64))
+        self.first = np.arange(-1, -1 - 0x110000, -1, dtype=np.int64)
+        for c, i in self.chars.items():
+            self.first[ord(c)] = i
         # Whether a mark may stand inside a piece behind another character.
         self.inner_mark = any(MARK in p.lstrip(MARK) for p in piece)
 
+    def _fill(self, keys: np.ndarray, ranks: np.ndarray, merged: np.ndarray) -> None:
+        """An open-addressing table of the pairs."""
+        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 16))))
+        size = 1 << self.bits
+        self.keys = np.full(size, -1, dtype=np.int64)
+        self.ranks = np.full(size, NO_PAIR, dtype=np.int64)
+        self.merged = np.zeros(size, dtype=np.int64)
+        at, todo, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        while len(todo):
+            self.probes += 1
+            free = todo[self.keys[at[todo]] < 0]
+            slots, which = np.unique(at[free], return_index=True)
+            put = free[which]
+            self.keys[slots], self.ranks[slots], self.merged[slots] = keys[put], ranks[put], merged[put]
+            todo = np.setdiff1d(todo, put)
+            at[todo] = (at[todo] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of each pair; NO_PAIR where it forms none."""
-        key = np.where((a >= 0) & (b >= 0), (a << 20) | np.maximum(b, 0), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NO_PAIR), self.merged[at]
-
-    def start(self, word: str) -> list[int]:
-        """A word's first symbols: piece ids, or -1 - code point for a character without one."""
-        get = self.chars.get
-        return [get(c, -1 - ord(c)) for c in word]
+        key = np.where((a >= 0) & (b >= 0), (a << 20) | np.maximum(b, 0), -2)
+        at = self._slot(key)
+        rank = np.full(len(key), NO_PAIR)
+        piece = np.zeros(len(key), dtype=np.int64)
+        found = self.keys[at]
+        hit = found == key
+        rank[hit], piece[hit] = self.ranks[at[hit]], self.merged[at[hit]]
+        todo = np.flatnonzero(~hit & (found >= 0) & (key >= 0))
+        for _ in range(self.probes - 1):
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[todo]]
+            good = found == key[todo]
+            x = todo[good]
+            rank[x], piece[x] = self.ranks[at[x]], self.merged[at[x]]
+            todo = todo[~good & (found >= 0)]
+        return rank, piece
 
 
 def merge_rounds(vocab: Vocabulary, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,30 +181,26 @@ def merge_rounds(vocab: Vocabulary, sym: np.ndarray, word: np.ndarray) -> tuple[
     return s[at], w[at]
 
 
-def encode_words(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of each word (marks in place of spaces), all words at once."""
-    start = [vocab.start(w) for w in words]
-    sizes = np.fromiter(map(len, start), dtype=np.int64, count=len(start))
-    sym = np.fromiter((x for s in start for x in s), dtype=np.int64, count=int(sizes.sum()))
-    sym, word = merge_rounds(vocab, sym, np.repeat(np.arange(len(words)), sizes))
-    ids, at = sym.tolist(), np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-    out = []
-    low = sym < 0
-    has_low = np.zeros(len(words), dtype=bool)
-    has_low[word[low]] = True
-    for k in range(len(words)):
-        x = ids[at[k] : at[k + 1]]
-        if has_low[k]:
-            y = []
-            for i in x:
-                if i >= 0:
-                    y.append(i)
-                else:
-                    raw = chr(-1 - i).encode("utf-8", "replace")
-                    y.extend(vocab.byte_id.get(b, vocab.unknown) for b in raw) if vocab.byte_id else y.append(vocab.unknown)
-            x = y
-        out.append(x)
-    return out
+def encode_words(vocab: Vocabulary, words: list[str]) -> list[bytes]:
+    """Ids of each word (marks in place of spaces), all words at once, as little-endian 32-bit integers."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    sym, word = merge_rounds(vocab, vocab.first[points], np.repeat(np.arange(len(words)), sizes))
+    low = np.flatnonzero(sym < 0)
+    if len(low):  # characters without a piece become their bytes
+        spelled = [
+            [vocab.byte_id.get(b, vocab.unknown) for b in chr(-1 - x).encode("utf-8", "replace")] if vocab.byte_id else [vocab.unknown]
+            for x in sym[low].tolist()
+        ]
+        n = np.ones(len(sym), dtype=np.int64)
+        n[low] = [len(x) for x in spelled]
+        start = np.cumsum(n) - n
+        sym, word = np.repeat(sym, n), np.repeat(word, n)
+        flat = np.concatenate([np.arange(start[k], start[k] + len(x)) for k, x in zip(low.tolist(), spelled, strict=True)])
+        sym[flat] = [i for x in spelled for i in x]
+    at = (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+    raw = sym.astype("<i4").tobytes()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 class Encoder:
@@ -183,7 +208,7 @@ class Encoder:
 
     def __init__(self, model_path: str):
         self.vocab = Vocabulary(model_path)
-        self.known: dict[str, list[int]] = {}
+        self.cache = WordCache(lambda words: encode_words(self.vocab, words), CACHE_WORDS)
 
     def cut(self, text: str) -> list[str]:
         """Words whose ids join to the text's ids: before each run of marks, a cut."""
@@ -208,17 +233,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for lo in range(0, len(texts), 256):
             cut = [self.cut(t) for t in texts[lo : lo + 256]]
-            known = self.known
-            new = list({w for c in cut for w in c if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for c in cut for w in c})
-            known.update(zip(new, encode_words(self.vocab, new), strict=True))
+            known = self.cache.get(cut)
             for c in cut:
-                ids: list[int] = []
-                for w in map(known.__getitem__, c):
-                    ids += w
-                yield ids
+                yield np.frombuffer(b"".join(map(known, c)), dtype="<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.vocab.library.decode(ids)
