@@ -106,7 +106,7 @@ def _ratios() -> dict[str, Column]:
     c = F.col
 
     def over(a: str, b: str) -> Column:
-        return F.when(c(b) > 0, c(a) / c(b))
+        return F.try_divide(c(a), c(b))
 
     return {
         "symbol_ratio": over("n_symbols", "word_chars"),

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bucket, table
+
+
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, bucket(F.col("doc_id"), 7) != 2, fixed_input=True)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +53,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
