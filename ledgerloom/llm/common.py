@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,19 @@ def block_count(docs: DataFrame, text: str, bytes_per_block: int) -> int:
     return max(1, -(-int(total) // bytes_per_block))
 
 
+def frame(**columns) -> pd.DataFrame:
+    """A pandas frame whose text and binary columns are plain objects, whatever pandas would infer."""
+    out = {}
+    for name, x in columns.items():
+        if isinstance(x, np.ndarray) and x.dtype != object and x.ndim == 1:
+            out[name] = pd.Series(x)
+        elif isinstance(x, pd.Series):
+            out[name] = x.reset_index(drop=True)
+        else:
+            out[name] = pd.Series(list(x), dtype=object)
+    return pd.DataFrame(out)
+
+
 class WordCache:
     """What a worker knows of words it has met: two generations of a bounded dict.
 

@@ -29,6 +29,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -53,5 +59,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
