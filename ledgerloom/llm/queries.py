@@ -35,6 +35,12 @@ def op3_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -59,5 +65,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op4_suffix_dedup, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
 ORACLES: dict[str, str] = {}
