@@ -65,5 +65,29 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op4_suffix_dedup, op5_license_scan, op7_sentencepiece, op8_best_fit_packing)}
+def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = bucket(F.col("doc_id"), 5) != 0
+    model = fit(docs, table(spark, sf_dir, "labels"), train)
+    return score_toxicity(docs, model).select(
+        "doc_id", (~train).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "evidence",
+    )
+
+
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import fit, score_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = bucket(F.col("doc_id"), 5) != 0
+    model = fit(docs, table(spark, sf_dir, "labels"), train)
+    return score_lines(docs, model).select(
+        "doc_id", (~train).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op4_suffix_dedup, op5_license_scan, op7_sentencepiece, op8_best_fit_packing, op9_toxicity_neighbours, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {}
