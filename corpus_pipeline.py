@@ -1,10 +1,72 @@
-"""Placeholder until every stage's operator stands."""
+"""The corpus pipeline: quality, toxicity, near duplicates, repeated passages, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again as the next one's docs.  All but the last return the columns of
+``documents``; each works on all that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import near_duplicates, packing, quality_rules, suffix_dedup, toxicity
+from ledgerloom.llm.common import bucket, materialize, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that probably are bad, or of which most words are repeated windows."""
+    scored = quality_rules.score_quality(docs)
+    repeats = 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
+    return scored.filter(F.col("good") & ~repeats).select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose nearest labelled examples are toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket(F.col("doc_id"), 5) != 0)
+    return toxicity.score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
 
 
-def run(spark, sf_dir):
-    from ledgerloom.llm.common import table
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each class."""
+    classes = near_duplicates.near_duplicate_classes(docs)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialize(kept, "kept-ids")
+    out = docs.join(kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():  # rows that repeat an id
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*docs.columns)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes later copies of long byte strings out of the texts, and keeps the first."""
+    out = suffix_dedup.remove_repeats(docs, keep="first")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("packing", packing_stage),
+]
+#: Tokenizing and similarity classes can't be said in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
 
-    return table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -49,6 +49,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,5 +95,5 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op4_suffix_dedup, op5_license_scan, op7_sentencepiece, op8_best_fit_packing, op9_toxicity_neighbours, op10_line_crf_quality)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_quality_rules, op3_chosen_path_join, op4_suffix_dedup, op5_license_scan, op6_anisotropic_neighbours, op7_sentencepiece, op8_best_fit_packing, op9_toxicity_neighbours, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {}
