@@ -126,9 +126,9 @@ class WordCache:
         missing = words.difference(self.young)
         if self.old and missing:
             old = self.old
-            for w in missing.intersection(old):
-                self.young[w] = old[w]
-            missing.difference_update(old)
+            back = [w for w in missing if w in old]  # set methods would walk the whole dict
+            self.young.update((w, old[w]) for w in back)
+            missing.difference_update(back)
         if missing:
             new = list(missing)
             self.young.update(zip(new, self.learn(new), strict=True))

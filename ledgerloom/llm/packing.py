@@ -32,7 +32,7 @@ from .common import WordCache, materialize, text_or_empty
 
 CAPACITY = 2048
 #: Chunks of text whose ids a worker keeps between batches.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 700_000
 
 
 class ChunkTokenizer:
