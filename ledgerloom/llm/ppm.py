@@ -34,13 +34,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import frame, materialize, text_or_empty
 
 ORDER = 5
 ALPHABET = 255
 START, END = b"\xff", b"\xfe"
 BLOCK_BYTES = 32 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +107,15 @@ class _Requests:
 
     def frames(self, block: int) -> Iterator[pd.DataFrame]:
         g, c = _merge(self.grams, self.counts)
-        yield pd.DataFrame({"block": block, "gram": pd.array(g, dtype="Int64"), "word": None, "n": c})
-        items = list(self.words.items())
-        for lo in range(0, len(items), 100_000):
-            part = items[lo : lo + 100_000]
-            yield pd.DataFrame(
-                {
-                    "block": block,
-                    "gram": pd.array([None] * len(part), dtype="Int64"),
-                    "word": [w for w, _ in part],
-                    "n": [k for _, k in part],
-                }
-            )
+        yield frame(block=np.full(len(g), block), gram=g, word=[None] * len(g), n=c)
+        # Words answer to their place in the block's sorted list: -1, -2 and so on.
+        order = sorted(self.words)
+        for lo in range(0, len(order), 100_000):
+            part = order[lo : lo + 100_000]
+            yield frame(
+                block=np.full(len(part), block), gram=-1 - np.arange(lo, lo + len(part)), word=part,
+                n=np.fromiter(map(self.words.__getitem__, part), dtype=np.int64, count=len(part)),
+            )
 
 
 def requests(blocks: DataFrame, order: int) -> DataFrame:
@@ -215,32 +212,35 @@ def score_documents(
         "block", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("id", "text"), F.lit(split))
     )
     asked = materialize(requests(blocks, order), "ppm-requests")
-    grams = materialize(asked.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts")
-    words = asked.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    grams = materialize(asked.filter("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts")
+    words = asked.filter("gram < 0").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialize(words, "ppm-words")
     sums = words.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n_train, n_distinct = int(sums["n"] or 0), int(sums["v"] or 0)
     answers = (
-        asked.filter("gram is not null").select("block", "gram")
-        .join(model(grams, order), "gram")
-        .select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value"))
+        asked.filter("gram >= 0").select("block", "gram")
+        .join(model(grams, order), "gram").select("block", "gram", F.col("logp").alias("value"))
         .unionByName(
-            asked.filter("word is not null").select("block", "word")
-            .join(words, "word")
-            .select("block", F.lit(0).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+            asked.filter("gram < 0").select("block", "gram", "word")
+            .join(words, "word").select("block", "gram", F.col("n").cast("double").alias("value"))
         )
     )
     kind = rows.schema["id"].dataType.simpleString()
     scale = n_train + n_distinct + 1
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_gram = right["word"].isna().to_numpy()  # a gram with a null would pass through floats
-        keys = right["gram"][is_gram].to_numpy(dtype=np.int64)
-        logp = right["value"].to_numpy()[is_gram]
+        keys, value = right["gram"].to_numpy(), right["value"].to_numpy()
         at = np.argsort(keys)
-        keys, logp = keys[at], logp[at]
-        known = dict(zip(right["word"][~is_gram], right["value"][~is_gram].to_numpy(dtype=np.int64).tolist(), strict=True))
+        keys, value = keys[at], value[at]
+        n_words = int(np.searchsorted(keys, 0))
+        counts = value[:n_words][::-1].astype(np.int64).tolist()
+        keys, logp = keys[n_words:], value[n_words:]
         texts = [t.encode("utf-8", "replace").lower() for t in left["text"]]
+        words: set[bytes] = {b""}
+        for t in texts:
+            words.update(t.split())
+        known = dict(zip(sorted(words), counts, strict=True))
+        del words, counts
         score = np.zeros(len(texts))
         for lo, part, _ in _chunks(texts, order):
             g, who = _grams(part, order)
