@@ -1,4 +1,294 @@
-"""Registry of queries and of their SQL."""
+"""Registry of queries by operator, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom import params as P
+from ledgerloom.functions import fees, narration
+from ledgerloom.operators import matching as M
+from ledgerloom.plans.derive import bank_lines, invoices, payments
+from ledgerloom.plans.sql import SIDES
+from ledgerloom.sources import readers
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that follows the derived sides."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = SIDES + sql
+        return f
+
+    return put
+
+
+def _credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.parse(bank_lines(payments(spark, sf_dir)).filter("credit > 0"))
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.intervals(payments(spark, sf_dir))
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.candidate_pool(_credits(spark, sf_dir), _intervals(spark, sf_dir))
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cascade(_credits(spark, sf_dir), _intervals(spark, sf_dir))
+
+
+@query("SELECT payment_id, merchant_id, amount, fee, tds, refunded, captured, customer_name, invoice_no, amount - coalesce(fee, 0) AS net FROM pay")
+def payment_projection(spark, sf_dir):
+    return payments(spark, sf_dir).select(
+        "payment_id", "merchant_id", "amount", "fee", "tds", "refunded", "captured", "customer_name", "invoice_no",
+        (F.col("amount") - F.coalesce("fee", F.lit(0))).alias("net"),
+    )
+
+
+@query("SELECT txn_id, merchant_id, txn_date, narration, ref_no, credit, debit, CASE WHEN credit > 0 THEN 'credit' ELSE 'debit' END AS direction FROM bank")
+def bank_line_projection(spark, sf_dir):
+    return bank_lines(payments(spark, sf_dir)).select(
+        "txn_id", "merchant_id", "txn_date", "narration", "ref_no", "credit", "debit", F.when(F.col("credit") > 0, "credit").otherwise("debit").alias("direction")
+    )
+
+
+@query("SELECT invoice_no, merchant_id, customer_name, amount AS gross, tds, amount - tds AS net_receivable FROM pay WHERE invoice_no IS NOT NULL")
+def invoice_projection(spark, sf_dir):
+    return invoices(payments(spark, sf_dir)).drop("invoice_date")
+
+
+@query("SELECT txn_id, CASE WHEN regexp_matches(narration, '(?i)SETTLEMENT|SETL_') THEN 'settlement' WHEN regexp_matches(narration, '(?i)^\\s*NEFT') THEN 'neft' WHEN regexp_matches(narration, '(?i)^\\s*RTGS') THEN 'rtgs' WHEN regexp_matches(narration, '(?i)^\\s*IMPS') THEN 'imps' WHEN regexp_matches(narration, '(?i)^\\s*UPI') THEN 'upi' ELSE 'unknown' END AS style, utr, merchant_ref, txns FROM parsed")
+def narration_parse(spark, sf_dir):
+    return _credits(spark, sf_dir).select("txn_id", "style", "utr", "merchant_ref", "txns")
+
+
+@query("SELECT txn_id, CASE WHEN contains(narration, 'SETTLEMENT') THEN NULL ELSE name END AS payer FROM credits JOIN (SELECT 'bt_' || lpad(key::VARCHAR, 9, '0') AS txn_id, name FROM cr) USING (txn_id)")
+def narration_name(spark, sf_dir):
+    return _credits(spark, sf_dir).select("txn_id", "payer")
+
+
+@query("SELECT customer_name, trim(regexp_replace(regexp_replace(' ' || customer_name || ' ', ' (PVT|LTD|LLP) ', ' '), ' (PVT|LTD|LLP) ', ' ')) AS folded, count(*) AS n FROM pay GROUP BY ALL")
+def normalise_name(spark, sf_dir):
+    p = payments(spark, sf_dir)
+    return p.groupBy("customer_name", narration.normalise_name(F.col("customer_name")).alias("folded")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT payment_id, lo, hi, certain FROM ivl")
+def net_interval(spark, sf_dir):
+    return _intervals(spark, sf_dir).select("payment_id", "lo", "hi", "certain")
+
+
+@query("SELECT payment_id, fee_base AS fee, true_fee - fee_base AS tax FROM pay")
+def exact_fee_model(spark, sf_dir):
+    base, tax = fees.fee_and_tax(F.col("amount"))
+    return payments(spark, sf_dir).select("payment_id", base.alias("fee"), tax.alias("tax"))
+
+
+@query("SELECT txn_id, sum(lo)::BIGINT AS lo, sum(hi)::BIGINT AS hi, bool_and(certain) AS certain, count(*) AS n FROM pool GROUP BY 1")
+def interval_sum(spark, sf_dir):
+    return _pool(spark, sf_dir).groupBy("txn_id").agg(
+        F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.bool_and("certain").alias("certain"), F.count("*").alias("n")
+    )
+
+
+@query("SELECT txn_id, payment_id, residual, abs(residual) <= 100 AS fits FROM pool")
+def residual_tolerance_fit(spark, sf_dir):
+    return _pool(spark, sf_dir).select("txn_id", "payment_id", "residual", fees.fits(F.col("credit"), F.col("lo"), F.col("hi")).alias("fits"))
+
+
+@query("SELECT c.txn_id, greatest(2, count(p.payment_id)) AS pool_size FROM credits c LEFT JOIN pool p USING (txn_id) GROUP BY 1")
+def candidate_pool_size(spark, sf_dir):
+    n = _pool(spark, sf_dir).groupBy("txn_id").agg(F.count("*").alias("n"))
+    return _credits(spark, sf_dir).join(n, "txn_id", "left").select("txn_id", F.greatest(F.lit(2).cast("long"), F.coalesce("n", F.lit(0))).alias("pool_size"))
+
+
+@query("SELECT payment_id, count(*) OVER (PARTITION BY merchant_id ORDER BY pay_date - DATE '1970-01-01' RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS trailing FROM ivl")
+def pool_range_window(spark, sf_dir):
+    day = F.datediff("pay_date", F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy("merchant_id").orderBy("day").rangeBetween(-P.LOOKBACK_DAYS, 0)
+    return _intervals(spark, sf_dir).withColumn("day", day).select("payment_id", F.count("*").over(w).alias("trailing"))
+
+
+@query("SELECT * FROM t1")
+def tier1_reference(spark, sf_dir):
+    return M.tier1(_credits(spark, sf_dir), _intervals(spark, sf_dir)).withColumnsRenamed({"t1_hits": "hits", "t1_payment": "payment_id", "t1_residual": "residual"})
+
+
+@query("SELECT * FROM t2")
+def tier2_amount_date(spark, sf_dir):
+    return M.tier2(_pool(spark, sf_dir)).withColumnsRenamed({"t2_hits": "hits", "t2_payment": "payment_id", "t2_residual": "residual"})
+
+
+@query("SELECT txn_id, merchant_id, credit, txns, verdict, tier, payment_id, residual FROM cascade")
+def tier12_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir)
+
+
+@query("SELECT txn_id, txns, verdict, txns IS NOT NULL AND txns <> 1 AND verdict = 'open' AS count_conflict FROM cascade")
+def narration_count(spark, sf_dir):
+    conflict = F.col("txns").isNotNull() & (F.col("txns") != 1) & (F.col("verdict") == "open")
+    return _cascade(spark, sf_dir).select("txn_id", "txns", "verdict", conflict.alias("count_conflict"))
+
+
+@query("""SELECT c.txn_id, count(*) AS pairs FROM cascade c JOIN pool a USING (txn_id) JOIN pool b USING (txn_id)
+WHERE c.verdict = 'open' AND a.payment_id < b.payment_id AND greatest(a.lo + b.lo - c.credit, c.credit - a.hi - b.hi, 0) <= 100 GROUP BY 1""")
+def subset_sum_pairs(spark, sf_dir):
+    """Subsets of two, level-wise: what the bounded search finds at depth two."""
+    pool = _pool(spark, sf_dir)
+    open_ = _cascade(spark, sf_dir).filter("verdict = 'open'").select("txn_id")
+    a = pool.join(open_, "txn_id", "left_semi")
+    b = a.select("txn_id", F.col("payment_id").alias("id2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    gap = F.greatest(F.col("lo") + F.col("lo2") - F.col("credit"), F.col("credit") - F.col("hi") - F.col("hi2"), F.lit(0))
+    return a.join(b, "txn_id").filter((F.col("payment_id") < F.col("id2")) & (gap <= P.TOLERANCE)).groupBy("txn_id").agg(F.count("*").alias("pairs"))
+
+
+@query()
+def subset_sum_full(spark, sf_dir):
+    return M.subset_sum(_cascade(spark, sf_dir).filter("verdict = 'open'"), _pool(spark, sf_dir))
+
+
+@query()
+def match_fixpoint(spark, sf_dir):
+    from ledgerloom.plans.storage import checkpoint
+
+    p = payments(spark, sf_dir)
+    return M.match(bank_lines(p).filter("credit > 0"), p, checkpoint)
+
+
+@query("SELECT merchant_id, greatest(sum(n * n) / (sum(n) * sum(n)), 1e-6) AS u FROM (SELECT merchant_id, customer_name, count(*)::DOUBLE AS n FROM ivl GROUP BY 1, 2) GROUP BY 1")
+def u_estimates(spark, sf_dir):
+    """Chance agreement of names: the collision probability, summed over values."""
+    n = _intervals(spark, sf_dir).groupBy("merchant_id", "customer_name").agg(F.count("*").cast("double").alias("n"))
+    t = n.groupBy("merchant_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    return t.select("merchant_id", F.greatest(F.col("s") / (F.col("t") * F.col("t")), F.lit(P.EPSILON_U)).alias("u"))
+
+
+@query("""SELECT txn_id, payment_id, count(*) OVER (PARTITION BY payment_id) AS claims, (count(*) OVER (PARTITION BY payment_id) = 1
+ OR (strength = max(strength) OVER (PARTITION BY payment_id) AND count(*) OVER (PARTITION BY payment_id, strength) = 1)) AS granted
+FROM (SELECT txn_id, payment_id, CASE WHEN tier = 'tier1_reference' THEN 3 ELSE 2 END AS strength FROM cascade WHERE verdict = 'assign')""")
+def contest_resolution(spark, sf_dir):
+    x = _cascade(spark, sf_dir).filter("verdict = 'assign'")
+    s = x.select("txn_id", F.col("payment_id").alias("payment_ids"), F.when(F.col("tier") == "tier1_reference", 3).otherwise(2).alias("strength"))
+    return M.resolve_contests(s).join(x.select("txn_id", "payment_id"), "txn_id").select("txn_id", "payment_id", F.col("rivals").alias("claims"), "granted")
+
+
+@query("""SELECT txn_id, round(1 / (1 + exp(-(3.0 * (1 - abs(residual) / 100.0) + 2.0 + 1.5 * 0.5 - 2.5))), 6) AS confidence FROM cascade WHERE verdict = 'assign'""")
+def confidence_score(spark, sf_dir):
+    tight = 1 - F.abs("residual") / F.lit(100.0)
+    c = M.confidence(F.lit(None).cast("double"), F.lit(1.0), tight)
+    return _cascade(spark, sf_dir).filter("verdict = 'assign'").select("txn_id", F.round(c, 6).alias("confidence"))
+
+
+@query("""SELECT d.txn_id AS debit_id, d.debit, CASE WHEN c.txn_id IS NULL THEN 'reverses_a_settlement_outside_this_batch' WHEN c.credit = d.debit AND c.txn_date <= d.txn_date THEN 'reversed'
+ELSE 'reverses_a_settlement_this_engine_refused' END AS outcome, CASE WHEN c.credit = d.debit AND c.txn_date <= d.txn_date THEN c.txn_id END AS credit_id
+FROM debits d LEFT JOIN credits c ON contains(d.narration, c.ref_no)""")
+def debit_classification(spark, sf_dir):
+    return M.full_reversals(bank_lines(payments(spark, sf_dir)))
+
+
+@query("SELECT payment_id, amount FROM ivl WHERE payment_id NOT IN (SELECT payment_id FROM cascade WHERE payment_id IS NOT NULL)")
+def unassigned_payments(spark, sf_dir):
+    used = _cascade(spark, sf_dir).filter("payment_id is not null").select("payment_id")
+    return _intervals(spark, sf_dir).join(used, "payment_id", "left_anti").select("payment_id", "amount")
+
+
+@query("""SELECT c.txn_id, CASE WHEN c.credit < p.lo THEN c.credit - p.lo WHEN c.credit > p.hi THEN c.credit - p.hi ELSE 0 END AS recomputed,
+abs(CASE WHEN c.credit < p.lo THEN c.credit - p.lo WHEN c.credit > p.hi THEN c.credit - p.hi ELSE 0 END) <= 100 AS holds FROM cascade c JOIN ivl p USING (payment_id)""")
+def mr4_conservation(spark, sf_dir):
+    x = _cascade(spark, sf_dir).filter("payment_id is not null").select("txn_id", "credit", "payment_id")
+    r = fees.residual(F.col("credit"), F.col("lo"), F.col("hi"))
+    return x.join(_intervals(spark, sf_dir), "payment_id").select("txn_id", r.alias("recomputed"), (F.abs(r) <= P.TOLERANCE).alias("holds"))
+
+
+@query("SELECT (SELECT count(*) FROM credits) AS credits, count(*) AS verdicts, count(DISTINCT txn_id) AS distinct_txns FROM cascade")
+def mr5_closure(spark, sf_dir):
+    """Every credit has exactly one verdict."""
+    v = _cascade(spark, sf_dir).agg(F.count("*").alias("verdicts"), F.countDistinct("txn_id").alias("distinct_txns"))
+    return _credits(spark, sf_dir).agg(F.count("*").alias("credits")).join(v, F.lit(True))
+
+
+@query("SELECT payment_id, count(DISTINCT txn_id) AS n FROM cascade WHERE payment_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT txn_id) > 1")
+def double_posted(spark, sf_dir):
+    return _cascade(spark, sf_dir).filter("payment_id is not null").groupBy("payment_id").agg(F.countDistinct("txn_id").alias("n")).filter("n > 1")
+
+
+@query("SELECT CASE WHEN credit >= 500000 THEN 'examined' ELSE 'sampled' END AS stratum, count(*) AS n, sum(credit)::BIGINT AS total FROM cascade WHERE verdict = 'assign' GROUP BY 1")
+def materiality_strata(spark, sf_dir):
+    s = F.when(F.col("credit") >= P.MATERIALITY, "examined").otherwise("sampled")
+    return _cascade(spark, sf_dir).filter("verdict = 'assign'").groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), F.sum("credit").alias("total"))
+
+
+@query("SELECT verdict AS category, count(*) AS n, sum(credit)::BIGINT AS at_risk FROM cascade WHERE verdict <> 'assign' GROUP BY 1")
+def exceptions_by_category(spark, sf_dir):
+    return _cascade(spark, sf_dir).filter("verdict <> 'assign'").groupBy(F.col("verdict").alias("category")).agg(F.count("*").alias("n"), F.sum("credit").alias("at_risk"))
+
+
+@query("""SELECT 'verdict' AS facet, verdict AS value, count(*) AS n FROM cascade GROUP BY ALL UNION ALL
+SELECT 'tier', tier, count(*) FROM cascade WHERE tier <> '' GROUP BY ALL""")
+def transaction_facets(spark, sf_dir):
+    x = _cascade(spark, sf_dir)
+    pairs = F.explode(F.array(F.struct(F.lit("verdict").alias("facet"), F.col("verdict").alias("value")), F.struct(F.lit("tier").alias("facet"), F.col("tier").alias("value"))))
+    return x.select(pairs.alias("f")).select("f.*").filter("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT b.txn_id, b.credit - b.debit AS amount, coalesce(c.verdict, 'debit') AS status, c.payment_id, p.customer_name FROM bank b LEFT JOIN cascade c USING (txn_id) LEFT JOIN pay p USING (payment_id)""")
+def flat_transactions(spark, sf_dir):
+    p = payments(spark, sf_dir)
+    b = bank_lines(p)
+    c = _cascade(spark, sf_dir).select("txn_id", "verdict", "payment_id")
+    return b.join(c, "txn_id", "left").join(p.select("payment_id", "customer_name"), "payment_id", "left").select(
+        "txn_id", (F.col("credit") - F.col("debit")).alias("amount"), F.coalesce("verdict", F.lit("debit")).alias("status"), "payment_id", "customer_name"
+    )
+
+
+@query("SELECT txn_id, credit, verdict FROM cascade WHERE verdict <> 'assign' ORDER BY credit DESC, txn_id LIMIT 50 OFFSET 10")
+def transactions_page(spark, sf_dir):
+    """One page of exceptions by money at risk: a limit that is the feature."""
+    return _cascade(spark, sf_dir).filter("verdict <> 'assign'").orderBy(F.desc("credit"), "txn_id").offset(10).limit(50).select("txn_id", "credit", "verdict")
+
+
+@query("SELECT count(*) AS n, sum((verdict = 'assign')::INT)::BIGINT AS assigned, round(avg((verdict = 'assign')::INT), 6) AS match_rate, sum((verdict NOT IN ('assign', 'open'))::INT)::BIGINT AS refused FROM cascade")
+def headline_metrics(spark, sf_dir):
+    a, r = (F.col("verdict") == "assign").cast("int"), (~F.col("verdict").isin("assign", "open")).cast("int")
+    return _cascade(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(a).alias("assigned"), F.round(F.avg(a), 6).alias("match_rate"), F.sum(r).alias("refused"))
+
+
+@query("SELECT c.tier, count(*) AS n, sum((k.n = 1)::INT)::BIGINT AS correct FROM cascade c JOIN (SELECT 'bt_' || lpad(key::VARCHAR, 9, '0') AS txn_id, 'pay_' || lpad(key::VARCHAR, 9, '0') AS truth, n FROM cr) k USING (txn_id) WHERE c.verdict = 'assign' AND c.payment_id = k.truth GROUP BY 1")
+def precision_by_tier(spark, sf_dir):
+    """Assignments to the payment that the credit was derived from."""
+    x = _cascade(spark, sf_dir).filter("verdict = 'assign'")
+    same = F.regexp_replace("txn_id", "^bt_", "pay_") == F.col("payment_id")
+    single = F.coalesce(F.col("txns"), F.lit(1)) == 1
+    return x.filter(same).groupBy("tier").agg(F.count("*").alias("n"), F.sum(single.cast("int")).alias("correct"))
+
+
+@query("""SELECT txn_id, sum(credit - debit) OVER (PARTITION BY merchant_id ORDER BY txn_date, txn_id ROWS UNBOUNDED PRECEDING)::BIGINT + 5000000 AS balance FROM bank""")
+def running_balance(spark, sf_dir):
+    w = Window.partitionBy("merchant_id").orderBy("txn_date", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
+    b = bank_lines(payments(spark, sf_dir))
+    return b.select("txn_id", (F.sum(F.col("credit") - F.col("debit")).over(w) + 5_000_000).alias("balance"))
+
+
+@query("SELECT count(*) AS breaks FROM pay WHERE false")
+def balance_continuity(spark, sf_dir):
+    b = bank_lines(payments(spark, sf_dir)).join(running_balance(spark, sf_dir), "txn_id")
+    b = b.withColumn("place", F.concat_ws("|", F.col("txn_date").cast("string"), "txn_id"))
+    return readers.balance_breaks(b, "merchant_id", "place").agg(F.count("*").alias("breaks"))
+
+
+@query("SELECT payment_id, amount // 100 || '.' || lpad((amount % 100)::VARCHAR, 2, '0') AS text, amount AS parsed FROM pay")
+def money_parse(spark, sf_dir):
+    t = fees.rupees(F.col("amount"))
+    return payments(spark, sf_dir).select("payment_id", t.alias("text"), readers.money(t).alias("parsed"))
+
+
+@query("SELECT invoice_no, 'repeated invoice_no' AS error FROM (SELECT invoice_no FROM pay WHERE invoice_no IS NOT NULL) GROUP BY invoice_no HAVING count(*) > 1")
+def invoice_validation(spark, sf_dir):
+    return readers.ledger_errors(invoices(payments(spark, sf_dir)))
