@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,7 +220,9 @@ def score_documents(
     n_train, n_distinct = int(sums["n"] or 0), int(sums["v"] or 0)
     answers = (
         asked.filter("gram >= 0").select("block", "gram")
-        .join(model(grams, order), "gram").select("block", "gram", F.col("logp").alias("value"))
+        .join(model(grams, order), "gram")
+        # Single precision is plenty for one byte's code length, and packs better.
+        .select("block", "gram", F.col("logp").cast("float").cast("double").alias("value"))
         .unionByName(
             asked.filter("gram < 0").select("block", "gram", "word")
             .join(words, "word").select("block", "gram", F.col("n").cast("double").alias("value"))
@@ -228,23 +231,31 @@ def score_documents(
     kind = rows.schema["id"].dataType.simpleString()
     scale = n_train + n_distinct + 1
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keys, value = right["gram"].to_numpy(), right["value"].to_numpy()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Texts stay in their Arrow buffer; one chunk of them at a time is unpacked.
+        raw = left.column("text").cast(pa.large_binary()).combine_chunks()
+        keys, value = (right.column(c).combine_chunks().to_numpy() for c in ("gram", "value"))
         at = np.argsort(keys)
-        keys, value = keys[at], value[at]
-        n_words = int(np.searchsorted(keys, 0))
-        counts = value[:n_words][::-1].astype(np.int64).tolist()
-        keys, logp = keys[n_words:], value[n_words:]
-        texts = [t.encode("utf-8", "replace").lower() for t in left["text"]]
+        n_words = int((keys < 0).sum())
+        # Words come first, the last of them foremost.
+        counts = value[at[:n_words][::-1]].astype(np.int64).tolist()
+        keys, logp = keys[at[n_words:]], value[at[n_words:]]
+        del at, value
         words: set[bytes] = {b""}
-        for t in texts:
-            words.update(t.split())
-        known = dict(zip(sorted(words), counts, strict=True))
-        del words, counts
-        score = np.zeros(len(texts))
-        for lo, part, _ in _chunks(texts, order):
-            g, who = _grams(part, order)
-            bits = max(1, int(len(part)).bit_length())
+        for t in raw:
+            words.update(t.as_py().lower().split())
+        order_of = sorted(words)
+        del words
+        known = dict(zip(order_of, counts, strict=True))
+        del order_of, counts
+        end = known.get(b"", 0)
+        n = len(raw)
+        score, base = np.zeros(n), np.zeros(n)
+        n_tokens, n_known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+
+        def take(lo: int, texts: list[bytes]) -> None:
+            g, who = _grams(texts, order)
+            bits = max(1, int(len(texts)).bit_length())
             if 8 * (order + 1) + bits < 63:
                 # Sorted by string and then text, strings and answers run side by side.
                 both = np.sort((g << bits) | who)
@@ -253,23 +264,32 @@ def score_documents(
                 values = logp[np.searchsorted(keys, g[new])][np.cumsum(new) - 1]
             else:
                 values = logp[np.searchsorted(keys, g)]
-            score[lo : lo + len(part)] = np.bincount(who, weights=values, minlength=len(part))
-        n_tokens, n_known, base = [], [], []
-        end = known.get(b"", 0)
-        for t in texts:
-            c = np.fromiter(map(known.__getitem__, t.split()), dtype=np.int64)
-            n_tokens.append(len(c) + 1)
-            n_known.append(int((c > 0).sum()) + (end > 0))
-            base.append(float(np.log10((c + 1) / scale).sum() + np.log10((end + 1) / scale)))
-        return pd.DataFrame(
+            score[lo : lo + len(texts)] = np.bincount(who, weights=values, minlength=len(texts))
+            for i, t in enumerate(texts, lo):
+                c = np.fromiter(map(known.__getitem__, t.split()), dtype=np.int64)
+                n_tokens[i] = len(c) + 1
+                n_known[i] = (c > 0).sum() + (end > 0)
+                base[i] = np.log10((c + 1) / scale).sum() + np.log10((end + 1) / scale)
+
+        part: list[bytes] = []
+        held = 0
+        for i, t in enumerate(raw):
+            part.append(t.as_py().lower())
+            held += len(part[-1]) + 1
+            if held >= CHUNK or i == n - 1:
+                take(i + 1 - len(part), part)
+                part, held = [], 0
+        return pa.table(
             {
-                "id": left["id"], "train": left["train"], "n_tokens": n_tokens, "n_known": n_known,
-                "train_tokens": n_train, "base_score": base, "score": score,
+                "id": left.column("id"), "train": left.column("train"), "n_tokens": n_tokens, "n_known": n_known,
+                "train_tokens": np.full(n, n_train), "base_score": base, "score": score,
             }
         )
 
+    # One block to a task or so: what a task sorts is bounded by a block.
+    n_blocks = parts * split
     return (
-        blocks.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInPandas(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        blocks.repartition(n_blocks, "block").groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block"))
+        .applyInArrow(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         .withColumnRenamed("id", id_column)
     )
