@@ -43,7 +43,7 @@ from .textscan import byte_values, mix, prefix_hash, substring_hash
 LENGTH = 400
 GRAM = 32
 CHUNK = 2 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Different pieces of one anchor that may meet in a shard.
 VARIANTS = 2048
 _VALUES = byte_values(23)
@@ -117,15 +117,26 @@ def suffix_ranks(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
         key = (key << np.uint64(8)) | padded[j : j + n]
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     k = 8
+    # Three ranks fit in one key in a shard of usual size, so a step triples the length.
+    bits = int(n).bit_length() + 1
+    fold = 3 if 3 * bits <= 63 else 2
+    at = np.arange(n)
     # A string that would cross its piece's end gets a rank that no window uses.
-    while 2 * k < length:
-        nxt = np.minimum(np.arange(n) + k, n - 1)
-        inside = np.arange(n) + 2 * k <= ends
-        pair = np.where(inside, rank * (n + 1) + rank[nxt], -1)
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        k *= 2
-    pair = rank[starts] * (n + 1) + rank[starts + length - k]
-    return np.unique(pair, return_inverse=True)[1]
+    while fold * k <= length:
+        key = rank.copy()
+        for j in range(1, fold):
+            key <<= bits
+            key |= rank[np.minimum(at + j * k, n - 1)]
+        key[at + fold * k > ends] = -1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        k *= fold
+    # Overlapping strings of k bytes cover the rest.
+    offsets = [*range(0, length - k, k), length - k]
+    rank_at = rank[starts]
+    for o in offsets[1:]:
+        pair = rank_at * (n + 1) + rank[starts + o]
+        rank_at = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    return rank_at
 
 
 def previous_factor(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
