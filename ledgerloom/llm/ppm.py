@@ -30,12 +30,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frame, materialize, text_or_empty
+from .common import materialize, text_or_empty
 
 ORDER = 5
 ALPHABET = 255
@@ -62,16 +61,6 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], np.repeat(np.arange(len(texts)), sizes)
 
 
-def _chunks(texts: list[bytes], order: int) -> Iterator[tuple[int, list[bytes], bool]]:
-    """(first text, texts, more of the same text follows) of about CHUNK bytes each."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= CHUNK or i == len(texts) - 1:
-            yield lo, texts[lo : i + 1], False
-            lo, size = i + 1, 0
-
-
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     u, inv = np.unique(k, return_inverse=True)
@@ -81,19 +70,30 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 class _Requests:
     """Distinct strings and words of one block, with their training counts."""
 
-    def __init__(self) -> None:
+    def __init__(self, order: int) -> None:
+        self.order = order
         self.grams: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.words: dict[bytes, int] = {}
-
-    def add(self, texts: list[bytes], train: bool, order: int) -> None:
-        for _, part, _ in _chunks(texts, order):
-            u, c = np.unique(_grams(part, order)[0], return_counts=True)
-            self.grams.append(u)
-            self.counts.append(c if train else np.zeros(len(u), dtype=np.int64))
-        if len(self.grams) > 16:
+        self.held: dict[bool, list[bytes]] = {True: [], False: []}
+        self.size = {True: 0, False: 0}
+
+    def add(self, text: bytes, train: bool) -> None:
+        self.held[train].append(text)
+        self.size[train] += len(text) + 1
+        if self.size[train] >= CHUNK:
+            self.flush(train)
+
+    def flush(self, train: bool) -> None:
+        texts, self.held[train], self.size[train] = self.held[train], [], 0
+        if not texts:
+            return
+        u, c = np.unique(_grams(texts, self.order)[0], return_counts=True)
+        self.grams.append(u)
+        self.counts.append((c if train else np.zeros(len(u))).astype(np.int32))
+        if len(self.grams) > 6:
             g, c = _merge(self.grams, self.counts)
-            self.grams, self.counts = [g], [c]
+            self.grams, self.counts = [g], [c.astype(np.int64)]
         words = self.words
         get = words.get
         for t in texts:
@@ -106,32 +106,39 @@ class _Requests:
                         words[w] = 0
         words[b""] = get(b"", 0) + (len(texts) if train else 0)
 
-    def frames(self, block: int) -> Iterator[pd.DataFrame]:
+    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+        self.flush(True)
+        self.flush(False)
+        names = ["block", "gram", "word", "n"]
         g, c = _merge(self.grams, self.counts)
-        yield frame(block=np.full(len(g), block), gram=g, word=[None] * len(g), n=c)
+        self.grams, self.counts = [], []
+        for lo in range(0, len(g), 200_000):
+            x, n = g[lo : lo + 200_000], c[lo : lo + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(x), pa.nulls(len(x), pa.binary()), pa.array(n)], names)
         # Words answer to their place in the block's sorted list: -1, -2 and so on.
         order = sorted(self.words)
-        for lo in range(0, len(order), 100_000):
-            part = order[lo : lo + 100_000]
-            yield frame(
-                block=np.full(len(part), block), gram=-1 - np.arange(lo, lo + len(part)), word=part,
-                n=np.fromiter(map(self.words.__getitem__, part), dtype=np.int64, count=len(part)),
-            )
+        for lo in range(0, len(order), 50_000):
+            part = order[lo : lo + 50_000]
+            n = np.fromiter(map(self.words.__getitem__, part), dtype=np.int64, count=len(part))
+            at = -1 - np.arange(lo, lo + len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(at), pa.array(part, pa.binary()), pa.array(n)], names)
 
 
 def requests(blocks: DataFrame, order: int) -> DataFrame:
     """(block, gram or word, training count): what each block needs from the model and gives to it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Requests] = {}
         for b in batches:
-            for (block, train), part in b.groupby(["block", "train"]):
-                texts = [t.encode("utf-8", "replace").lower() for t in part["text"]]
-                held.setdefault(int(block), _Requests()).add(texts, bool(train), order)
-        for block, r in held.items():
-            yield from r.frames(block)
-
-    return blocks.select("block", "train", "text").mapInPandas(run, "block long, gram long, word binary, n long")
+            block, train, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())
+            for k, y, t in zip(block, train, raw, strict=True):
+                if k not in held:
+                    held[k] = _Requests(order)
+                held[k].add(t.as_py().lower(), y)
+        for k in list(held):
+            yield from held.pop(k).batches(k)
+
+    return blocks.select("block", "train", "text").mapInArrow(run, "block long, gram long, word binary, n long")
 
 
 def discounts(levels: dict[int, DataFrame]) -> dict[int, float]:
