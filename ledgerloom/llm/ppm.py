@@ -215,6 +215,9 @@ def score_documents(
         rows = materialize(rows, "ppm-rows")
     total = rows.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, rows.rdd.getNumPartitions())
+    few = max(1, -(-2 * int(total) // BLOCK_BYTES))
+    if parts > 2 * few:  # many small partitions: neighbours share a block, and what they ask for
+        rows, parts = rows.coalesce(few), few
     split = max(1, -(-int(total) // (parts * BLOCK_BYTES)))
     blocks = rows.withColumn(
         "block", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("id", "text"), F.lit(split))
