@@ -48,8 +48,8 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Packs what is left into sequences; workers that serve the other stages too keep fewer chunks in mind."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=100_000)
 
 
 STAGES = [

@@ -42,13 +42,13 @@ class ChunkTokenizer:
     through the tokenizer together, parted by a special token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fence_text = "<|endoftext|>"
         self.fence = self.tokenizer.token_to_id(self.fence_text)
-        self.cache = WordCache(self._learn, CACHE_CHUNKS)
+        self.cache = WordCache(self._learn, limit)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -76,13 +76,14 @@ class ChunkTokenizer:
                 yield b"".join(map(known, c))
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, limit: int = CACHE_CHUNKS) -> ChunkTokenizer:
+    key = (path, limit)
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = ChunkTokenizer(path, limit)
+    return _TOKENIZERS[key]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -176,7 +177,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return entries
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_column: str, text: str, capacity: int) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_column: str, text: str, capacity: int, cache: int) -> DataFrame:
     """Pieces of every document: place in it, length, checksum, and the piece's rank within its task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +185,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_column: str, text:
 
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        t = tokenizer(tokenizer_path)
+        t = tokenizer(tokenizer_path, cache)
         step = 4 * capacity
         for b in batches:
             rows = []
@@ -204,10 +205,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_column: str, text:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY
+    docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, cache: int = CACHE_CHUNKS
 ) -> DataFrame:
     """Packs every document; one row for each piece, with its sequence and offset."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, id_column, text, capacity), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_path, id_column, text, capacity, cache), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     # At most ``capacity`` rows at any size.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
