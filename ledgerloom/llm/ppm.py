@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, release_memory, text_or_empty
 
 ORDER = 5
 ALPHABET = 255
@@ -63,8 +63,13 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
-    u, inv = np.unique(k, return_inverse=True)
-    return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+    if not len(k):
+        return k, c.astype(np.int64)
+    at = np.argsort(k, kind="stable")
+    k, c = k[at], c[at]
+    del at
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[first], np.add.reduceat(c.astype(np.int64, copy=False), first)
 
 
 class _Requests:
@@ -137,6 +142,7 @@ def requests(blocks: DataFrame, order: int) -> DataFrame:
                 held[k].add(t.as_py().lower(), y)
         for k in list(held):
             yield from held.pop(k).batches(k)
+        release_memory()
 
     return blocks.select("block", "train", "text").mapInArrow(run, "block long, gram long, word binary, n long")
 
@@ -242,8 +248,9 @@ def score_documents(
     scale = n_train + n_distinct + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        # Texts stay in their Arrow buffer; one chunk of them at a time is unpacked.
-        raw = left.column("text").cast(pa.large_binary()).combine_chunks()
+        release_memory()
+        # Texts stay in their Arrow buffers; one chunk of them at a time is unpacked.
+        raw = left.column("text").cast(pa.binary())
         keys, value = (right.column(c).combine_chunks().to_numpy() for c in ("gram", "value"))
         at = np.argsort(keys)
         n_words = int((keys < 0).sum())
