@@ -252,7 +252,7 @@ def full_reversals(bank: DataFrame) -> DataFrame:
 def evidence_weight(level: Column, m: float, u: Column) -> Column:
     """log2 weight of an agreement level; an absent field counts 0."""
     partial = F.log2(F.lit(0.5 * m) / F.least(F.lit(1.0), 4 * u))
-    return F.when(level == 2, F.log2(F.lit(m) / u)).when(level == 1, partial).when(level == 0, F.log2(F.lit(1 - m) / (1 - u))).otherwise(F.lit(0.0))
+    return F.when(level == 2, F.log2(F.lit(m) / u)).when(level == 1, partial).when(level == 0, F.log2(F.lit(1 - m) / F.greatest(1 - u, F.lit(1e-9)))).otherwise(F.lit(0.0))
 
 
 def confidence(weight: Column, uniqueness: Column, tight: Column) -> Column:

@@ -14,3 +14,31 @@ EPSILON_U = 1e-6
 M_NAME, M_REFERENCE = 0.90, 0.99
 FS_LOWER, FS_UPPER, FS_REVIEW_CAP = 4.0, 7.0, 0.6
 CORPORATE_WORDS = ("PVT", "LTD", "LIMITED", "PRIVATE", "LLP", "INC", "CO", "COMPANY", "CORP", "AND")
+GROUP_SPAN_DAYS, MAX_GROUP_CREDITS, MAX_GROUP_RESIDUE, MAX_GROUP_SETS = 2, 6, 40, 20_000
+PERMUTATIONS = 3
+SAMPLED_SHARE = 0.25
+# Desk of each category, hours and kind of each desk.
+DESKS = {
+    "treasury_confirm": (8, False),
+    "collections": (24, False),
+    "investigations": (48, False),
+    "config_review": (72, True),
+    "engineering": (4, True),
+}
+DESK_OF = {
+    "order_dependent_assignment": "engineering",
+    "multiple_candidates": "treasury_confirm",
+    "solution_cap_reached": "treasury_confirm",
+    "pool_exceeded": "config_review",
+    "no_subset_fits": "investigations",
+    "narration_count_conflict": "treasury_confirm",
+    "contested_payment": "treasury_confirm",
+    "amount_name_conflict": "collections",
+    "unexplained_residual": "investigations",
+    "ambiguous_grouping": "treasury_confirm",
+    "no_candidate": "investigations",
+    "reverses_a_settlement_outside_this_batch": "treasury_confirm",
+    "reverses_a_settlement_this_engine_refused": "treasury_confirm",
+    "ambiguous_reversal": "treasury_confirm",
+    "no_settlement_named": "investigations",
+}

@@ -292,3 +292,6 @@ def money_parse(spark, sf_dir):
 @query("SELECT invoice_no, 'repeated invoice_no' AS error FROM (SELECT invoice_no FROM pay WHERE invoice_no IS NOT NULL) GROUP BY invoice_no HAVING count(*) > 1")
 def invoice_validation(spark, sf_dir):
     return readers.ledger_errors(invoices(payments(spark, sf_dir)))
+
+
+from ledgerloom.plans import reports  # noqa: E402, F401  (registers its queries)
