@@ -40,8 +40,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes later copies of long byte strings out of the texts, and keeps the first."""
-    out = suffix_dedup.remove_repeats(docs, keep="first")
+    """Takes later copies of passages of more than 50 words out of the texts, and keeps the first."""
+    out = suffix_dedup.remove_passages(docs, keep="first")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -21,6 +21,9 @@ well.  Equal strings must meet in one task without all text meeting there:
 ``keep="none"`` removes every copy, ``keep="first"`` leaves the first by
 (id, position).
 
+``remove_passages`` does the same for passages of more than 50 words, of any
+number of bytes: words below WORD bytes are filled up before the comparison.
+
 Defined cases: a null text is an empty one; texts shorter than ``length`` are
 kept whole; matches never cross texts; repeated rows are copies of one another
 like any two texts (with ``keep="first"``, rows of one id and one text are one
@@ -30,6 +33,7 @@ place and stay); an empty table stays empty; other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,10 @@ from .common import drop_tables, frame, materialize, text_or_empty
 from .textscan import byte_values, mix, prefix_hash, substring_hash
 
 LENGTH = 400
+#: Bytes that a word counts at least in ``remove_passages``.
+WORD = 7
+#: 51 words have 50 gaps and 49 words between them; the outer two may stick to other text.
+PASSAGE = 50 + 49 * WORD
 GRAM = 32
 CHUNK = 2 << 20
 SHARD_BYTES = 1 << 20
@@ -344,8 +352,23 @@ def merged(spans, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _joined(docs: DataFrame, id_column: str, text: str, length: int, keep: str) -> DataFrame:
-    base = docs.withColumns({"_id": F.col(id_column), "_text": text_or_empty(text)})
+def _filled(word: re.Match) -> str:
+    w = word[0]
+    return w + "\0" * (WORD - len(w.encode("utf-8", "replace")))
+
+
+def fill_words(t: str) -> str:
+    """The text with zeros after every word below WORD bytes; its own zeros become ones, so the rest keeps its places."""
+    return re.sub(rf"(?<!\S)\S{{1,{WORD - 1}}}(?!\S)", _filled, t.replace("\0", "\1"))
+
+
+def _fill(texts: pd.Series) -> pd.Series:
+    return pd.Series([fill_words(t) for t in texts], dtype=object)
+
+
+def _joined(docs: DataFrame, id_column: str, text: str, length: int, keep: str, fill: bool = False) -> DataFrame:
+    whole = text_or_empty(text)
+    base = docs.withColumns({"_id": F.col(id_column), "_text": F.pandas_udf(_fill, "string")(whole) if fill else whole})
     plain = base.select(F.col("_id").alias("id"), F.col("_text").alias("text"))
     spans = repeated_spans(plain, length, keep).select(F.col("id").alias("_sid"), F.col("text_key").alias("_key"), "spans")
     same = F.col("_id").eqNullSafe(F.col("_sid")) & (F.xxhash64("_text") == F.col("_key"))
@@ -374,16 +397,25 @@ def removal_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     return joined.mapInPandas(run, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_id", id_column)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """The table with repeated bytes taken out of its texts; runs shrink to whole characters."""
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", fill: bool = False
+) -> DataFrame:
+    """The table with repeated bytes taken out of its texts; runs shrink to whole characters.
+
+    With ``fill``, lengths are those of the texts with short words filled up.
+    """
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, compared: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for t, s in zip(texts, spans, strict=True):
-            raw = t.encode("utf-8", "replace")
+        for t, c, s in zip(texts, compared, spans, strict=True):
+            raw, c = t.encode("utf-8", "replace"), c.encode("utf-8", "replace")
+            runs = merged(s, len(c))
+            if fill and runs:
+                real = np.r_[0, np.cumsum(np.frombuffer(c, dtype=np.uint8) != 0)]
+                runs = [(int(real[x]), int(real[y])) for x, y in runs]
             kept, at = [], 0
-            for x, y in merged(s, len(raw)):
+            for x, y in runs:
                 while x < y and x < len(raw) and raw[x] & 0xC0 == 0x80:
                     x += 1
                 while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
@@ -394,6 +426,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             out.append(b"".join(kept).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    joined = _joined(docs, id_column, text, length, keep)
-    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut("_text", F.coalesce("spans", F.array().cast(joined.schema["spans"].dataType))))
+    joined = _joined(docs, id_column, text, length, keep, fill)
+    spans = F.coalesce("spans", F.array().cast(joined.schema["spans"].dataType))
+    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(text_or_empty(text), "_text", spans))
     return joined.withColumn(text, new).select(*docs.columns)
+
+
+def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "first") -> DataFrame:
+    """Takes out every repeated passage of more than 50 words between white space, or of LENGTH bytes.
+
+    Any such passage has PASSAGE bytes once its words count WORD at least:
+    gaps and inner words by the sum above, and LENGTH bytes less a first
+    word cut short.  A passage of 40 to 50 longer words can have as many.
+    """
+    return remove_repeats(docs, id_column, text, PASSAGE, keep, fill=True)

@@ -246,3 +246,24 @@ def test_pipeline_against_its_stages(spark):
     assert max(seen.values()) == 1
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_catches_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+
+    def text(n, size=None):
+        return " ".join("".join(rng.choices("abcdefghij", k=size or rng.randint(1, 9))) for _ in range(n))
+
+    tiny, usual, short, own = text(51, 1), text(51, 5), text(30, 5), [text(120) for _ in range(16)]
+    blob = "".join(rng.choices("klmnop", k=400))
+    texts = [f"{a} {p} {b}" for p, a, b in zip([tiny, tiny, usual, usual, short, short, blob, blob], own[:8], own[8:], strict=True)]
+    texts += [f"{text(40)}(-{usual}-){text(40)}", "é\0 " + texts[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passage_stage(spark, docs, SF).collect()}
+    assert [got[i] for i in (0, 2, 4, 5, 6)] == [texts[i] for i in (0, 2, 4, 5, 6)]
+    for i in (1, 3, 7):  # equal bytes beside the passage may go with it
+        assert -6 <= len(got[i]) - len(own[i]) - len(own[8 + i]) <= 0
+    assert len(got[8]) <= len(texts[8]) - len(usual) + suffix_dedup.WORD
+    assert got[9] == "é\0 "
