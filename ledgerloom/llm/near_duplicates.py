@@ -5,7 +5,11 @@ as min-hashes; a chosen path walks down these coordinates: each node of a
 repetition picks a coordinate by a hash of the path so far, and sets that
 agree there stay together.  A bucket small enough is compared by brute force
 on the embedded sets; a larger one is split on the next coordinate.  Enough
-repetitions run for the recall that is asked of a pair at the threshold.
+repetitions run for the recall that is asked of a pair at the threshold, at the
+depth it is compared at: all sets walk the repetitions that buckets SHALLOW
+levels deep need, and the sets that are split on after that level walk the
+further ones that DEPTH needs, among themselves.  A pair that agrees down to
+SHALLOW is compared there or is split on as a whole, so both then walk on.
 
 What is compared and similar is joined into candidate components; within each
 of those, *all* pairs are decided by the exact Jaccard similarity of their
@@ -38,15 +42,39 @@ THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
 DEPTH = 6
+SHALLOW = 3
+#: Deviations of the estimate below the threshold that still make a candidate.
+SLACK = 4
 BUCKET = 64
 #: Sets of one block of the exact comparison.
 BLOCK = 256
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def repetitions(threshold: float = THRESHOLD, recall: float = RECALL, levels: int = 3) -> int:
-    """Repetitions for a pair at the threshold to share a bucket ``levels`` deep with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
+def _least_estimate(threshold: float) -> float:
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+
+
+def missed(threshold: float, levels: int, repeats: int) -> float:
+    """Share of pairs at the threshold that share no bucket ``levels`` deep, or that the estimate turns away.
+
+    The repetitions draw from the same coordinates, so the misses are averaged
+    over how many of those a pair agrees on.
+    """
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        agree = k / COORDINATES
+        p = math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        out += p * ((1 - agree**levels) ** repeats if agree >= _least_estimate(threshold) else 1)
+    return out
+
+
+def repetitions(threshold: float = THRESHOLD, recall: float = RECALL, levels: int = DEPTH) -> int:
+    """Repetitions for a pair at the threshold to become a candidate ``levels`` deep with the given probability."""
+    for repeats in range(1, 1000):
+        if missed(threshold, levels, repeats) <= 1 - recall:
+            return repeats
+    raise ValueError("no number of repetitions reaches this recall")
 
 
 def _lowered(texts: pd.Series) -> list[bytes]:
@@ -73,20 +101,20 @@ def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _paths(rows: np.ndarray, repeats: int) -> np.ndarray:
+def _paths(rows: np.ndarray, repeats: range) -> np.ndarray:
     """Node keys [set, repetition, depth] along each set's chosen path."""
     n = len(rows)
-    out = np.empty((n, repeats, DEPTH), dtype=np.int64)
-    for r in range(repeats):
+    out = np.empty((n, len(repeats), DEPTH), dtype=np.int64)
+    for at, r in enumerate(repeats):
         node = np.full(n, np.uint64(r + 1), dtype=np.uint64)
         for d in range(DEPTH):
             pick = (mix(node + np.uint64(d * 1_000_003)) % np.uint64(COORDINATES)).astype(np.int64)
             node = mix(node * np.uint64(31) + rows[np.arange(n), pick].astype(np.uint64) + (pick.astype(np.uint64) << np.uint64(40)))
-            out[:, r, d] = node.view(np.int64)
+            out[:, at, d] = node.view(np.int64)
     return out
 
 
-def fingerprints(docs: DataFrame, id_column: str, text: str, width: int, repeats: int) -> DataFrame:
+def fingerprints(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
     """(id, set fingerprint, embedded set, paths) of every row; no fingerprint without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +139,7 @@ def fingerprints(docs: DataFrame, id_column: str, text: str, width: int, repeats
     )
 
 
-def _path_rows(sets: DataFrame, repeats: int) -> DataFrame:
+def _path_rows(sets: DataFrame, repeats: range) -> DataFrame:
     """(fp, keys of one repetition) for every set and repetition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,14 +147,14 @@ def _path_rows(sets: DataFrame, repeats: int) -> DataFrame:
             if len(b):
                 rows = np.frombuffer(b"".join(b["hashes"]), dtype=np.uint32).reshape(len(b), COORDINATES)
                 keys = _paths(rows, repeats)
-                yield frame(fp=np.repeat(b["fp"].to_numpy(dtype=object), repeats), keys=keys.reshape(-1, DEPTH))
+                yield frame(fp=np.repeat(b["fp"].to_numpy(dtype=object), len(repeats)), keys=keys.reshape(-1, DEPTH))
 
     return sets.select("fp", "hashes").mapInPandas(run, "fp string, keys array<bigint>")
 
 
 def _bucket_edges(members: DataFrame, threshold: float) -> DataFrame:
     """Edges between embedded sets of small buckets that may reach the threshold."""
-    slack = threshold - 3 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    slack = _least_estimate(threshold)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(b["hashes"]), dtype=np.uint32).reshape(len(b), COORDINATES)
@@ -144,11 +172,11 @@ def _bucket_edges(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("key").applyInPandas(run, "a string, b string")
 
 
-def candidate_edges(sets: DataFrame, threshold: float, repeats: int) -> DataFrame:
-    """Edges between sets that chosen paths bring together."""
-    paths = materialize(_path_rows(sets, repeats), "paths")
+def _walk(sets: DataFrame, threshold: float, repeats: range) -> tuple[DataFrame, DataFrame]:
+    """Edges that these repetitions find, and the sets that any of them splits on after level SHALLOW."""
+    active = materialize(_path_rows(sets, repeats), "paths")
+    deep = sets.limit(0)
     edges: DataFrame | None = None
-    active = paths
     for d in range(DEPTH):
         here = active.select("fp", "keys", F.element_at("keys", d + 1).alias("key"))
         size = here.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -159,11 +187,23 @@ def candidate_edges(sets: DataFrame, threshold: float, repeats: int) -> DataFram
         active = here.filter(F.col("n") > BUCKET).select("fp", "keys")
         if active.isEmpty():
             break
+        if d + 1 == SHALLOW:
+            deep = sets.join(active.select("fp").distinct(), "fp", "left_semi")
     else:  # agreed on every coordinate: candidates as a whole, as a star
         here = active.select("fp", F.element_at("keys", DEPTH).alias("key"))
         hub = here.groupBy("key").agg(F.min("fp").alias("b"))
         edges = edges.unionByName(here.join(hub, "key").select(F.col("fp").alias("a"), "b").filter("a != b"))
-    return edges
+    return edges, deep
+
+
+def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Edges between sets that chosen paths bring together."""
+    few, all_ = (repetitions(threshold, recall, levels) for levels in (SHALLOW, DEPTH))
+    edges, deep = _walk(sets, threshold, range(few))
+    deep = materialize(deep, "deep-sets")
+    if deep.isEmpty():
+        return edges
+    return edges.unionByName(_walk(deep, threshold, range(few, all_))[0])
 
 
 def _links(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -270,13 +310,12 @@ def near_duplicate_classes(
     threshold) and is named by its least id.  n_links counts the rows linked
     to this one with other shingles, n_copies the other rows with the same.
     """
-    repeats = repetitions(threshold, recall)
-    prints = materialize(fingerprints(docs, id_column, text, width, repeats), "fingerprints")
+    prints = materialize(fingerprints(docs, id_column, text, width), "fingerprints")
     sets = materialize(
         prints.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")),
         "sets",
     )
-    parts = connected_components(candidate_edges(sets, threshold, repeats))
+    parts = connected_components(candidate_edges(sets, threshold, recall))
     sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("n")), "component")
     wanted = materialize(sized.join(sets.select(F.col("fp").alias("node"), "least", "copies"), "node"), "candidates")
 

@@ -267,3 +267,21 @@ def test_pipeline_catches_passages_of_51_words(spark):
         assert -6 <= len(got[i]) - len(own[i]) - len(own[8 + i]) <= 0
     assert len(got[8]) <= len(texts[8]) - len(usual) + suffix_dedup.WORD
     assert got[9] == "é\0 "
+
+
+def test_near_duplicate_recall_holds_at_depth(spark, monkeypatch):
+    assert all(
+        near_duplicates.missed(near_duplicates.THRESHOLD, d, near_duplicates.repetitions(levels=d)) <= 1 - near_duplicates.RECALL
+        for d in range(1, near_duplicates.DEPTH + 1)
+    )
+    # Min-hashes of pairs at the threshold; every bucket is split on to the end of its path.
+    monkeypatch.setattr(near_duplicates, "BUCKET", 1)
+    rng = np.random.default_rng(4)
+    pairs = 1500
+    left = rng.integers(0, 1 << 32, (pairs, near_duplicates.COORDINATES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < near_duplicates.THRESHOLD, left, rng.integers(0, 1 << 32, left.shape, dtype=np.uint32))
+    rows = [(f"{side}{i}", r.tobytes()) for side, part in (("a", left), ("b", right)) for i, r in enumerate(part)]
+    sets = spark.createDataFrame(rows, "fp string, hashes binary")
+    edges = near_duplicates.candidate_edges(sets, near_duplicates.THRESHOLD, near_duplicates.RECALL).collect()
+    found = {frozenset((e["a"], e["b"])) for e in edges}
+    assert sum(frozenset((f"a{i}", f"b{i}")) in found for i in range(pairs)) >= 0.995 * pairs
