@@ -89,7 +89,7 @@ def cascade(credits: DataFrame, payments: DataFrame, pool: DataFrame | None = No
     )
 
 
-def subset_solutions(items: list[tuple[int, int, str]], target: int, size: int | None = None) -> tuple[list[list[str]], bool, int | None]:
+def subset_solutions(items: list[tuple[int, int, str]], target: int) -> tuple[list[list[str]], bool, int | None]:
     """All subsets of up to MAX_SUBSET whose interval sum is within tolerance of the target.
 
     Items are (lo, hi, id).  Also says whether the search stopped at
@@ -109,8 +109,7 @@ def subset_solutions(items: list[tuple[int, int, str]], target: int, size: int |
         if chosen:
             gap = max(lo - target, target - hi, 0)
             if gap <= P.TOLERANCE:
-                if size is None or len(chosen) == size:
-                    found.append(sorted(chosen))
+                found.append(sorted(chosen))
                 if positive:
                     continue
             else:
@@ -132,7 +131,8 @@ def subset_sum(credits: DataFrame, pool: DataFrame) -> DataFrame:
     """Tier 3 for credits that the cheaper tiers left open.
 
     Pools above MAX_POOL refuse before any search, so a credit's array is
-    bounded; the search itself runs over Arrow batches.
+    bounded; the search itself runs over Arrow batches.  A stated count takes
+    no part in the search: only a fit without rivals is held against it.
     """
     open_pool = pool.join(credits.select("txn_id"), "txn_id", "left_semi")
     size = open_pool.groupBy("txn_id").agg(F.count("*").alias("pool_size"))
@@ -146,10 +146,12 @@ def subset_sum(credits: DataFrame, pool: DataFrame) -> DataFrame:
             out = []
             for t, credit, txns, items in zip(b["txn_id"], b["credit"], b["txns"], b["items"], strict=True):
                 want = None if pd.isna(txns) else int(txns)
-                found, capped, miss = subset_solutions([(x["lo"], x["hi"], x["payment_id"]) for x in items], int(credit), want)
+                found, capped, miss = subset_solutions([(x["lo"], x["hi"], x["payment_id"]) for x in items], int(credit))
                 verdict = "solution_cap_reached" if capped else "no_subset_fits" if not found else "multiple_candidates" if len(found) > 1 else "assign"
+                if verdict == "assign" and want is not None and len(found[0]) != want:
+                    verdict = "narration_count_conflict"
                 margin = 1.0 if miss is None else min(max((miss - P.TOLERANCE) / P.TOLERANCE, 0.0), 1.0)
-                out.append((t, verdict, len(found), ",".join(found[0]) if verdict == "assign" else None, margin if len(found) == 1 else 0.0))
+                out.append((t, verdict, len(found), ",".join(found[0]) if verdict == "assign" else None, margin if verdict == "assign" else 0.0))
             yield pd.DataFrame(out, columns=["txn_id", "t3_verdict", "solutions", "payment_ids", "margin"])
 
     searched = small.mapInPandas(search, "txn_id string, t3_verdict string, solutions int, payment_ids string, margin double")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from ledgerloom import params as P
-from ledgerloom.operators.matching import resolve_contests, subset_solutions
+from ledgerloom.operators.matching import resolve_contests, subset_solutions, subset_sum
 from ledgerloom.plans import catalog
 from ledgerloom.sources import readers
 
@@ -49,6 +49,14 @@ def test_subset_search_is_exhaustive():
         assert capped or {tuple(f) for f in found} == want
 
 
+def test_stated_count_is_no_part_of_the_search(spark):
+    pools = {"rivals": (3, [3000, 2000, 4000, 1000], 6000), "other": (3, [30000, 20000, 90000], 50000), "same": (2, [30000, 20000, 90000], 50000)}
+    items = [(t, credit, n, f"{t}{i}", v, v) for t, (n, values, credit) in pools.items() for i, v in enumerate(values)]
+    pool = spark.createDataFrame(items, "txn_id string, credit bigint, txns int, payment_id string, lo bigint, hi bigint")
+    got = {r["txn_id"]: (r["verdict"], r["solutions"], r["payment_ids"]) for r in subset_sum(pool.select("txn_id").distinct(), pool).collect()}
+    assert got == {"rivals": ("multiple_candidates", 2, None), "other": ("narration_count_conflict", 1, None), "same": ("assign", 1, "same0,same1")}
+
+
 def test_contests_grant_only_a_strict_winner(spark):
     p = spark.createDataFrame([("a", "x", 3), ("b", "x,y", 2), ("c", "z", 1), ("d", "w", 2), ("e", "w", 2)], "txn_id string, payment_ids string, strength int")
     got = {r["txn_id"]: r["granted"] for r in resolve_contests(p).collect()}
