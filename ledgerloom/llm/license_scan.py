@@ -113,7 +113,9 @@ OTHER = (
 # Words around which windows are cut: every match holds one of them.
 ANCHORS = ("license", "licence", "licensed", "spdx", "subject", "distributed", "released", "provided", "available", "redistributed", "permission", "redistribution", "reserved", "domain", "unencumbered")
 # Parts of the anchors that a text is searched for before anything else.
-PREFILTER = ("licen", "spdx", "subject to", "distributed under", "released under", "provided under", "available under", "permission", "redistribution", "provided as is", "rights reserved", "public domain", "unencumbered")
+PREFILTER = ("licen", "spdx", "permission", "redistribution", "unencumbered")
+# Anchors too common to open the gate alone, with the words that a signature has beside them.
+PHRASES = ("subject to", "distributed under", "released under", "provided under", "available under", "provided as is", "rights reserved", "public domain")
 # Words of name patterns that don't tell one licence from another.
 GENERIC = frozenset("license licen version public software gnu only or later clause free of and v3 v2 v1 by nc nd sa".split())
 
@@ -267,10 +269,11 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     raw = text_or_empty(text)
     low = F.lower(raw)  # only to open the gate; the words are lowered A-Z alone
     gate = F.lit(False)
-    for part in PREFILTER[:2]:
-        gate = gate | F.contains(F.col("_low"), F.lit(part))
-    for part in PREFILTER[2:]:
+    for part in PREFILTER:
         gate = gate | F.contains(F.col("_low"), F.lit(part))
+    for phrase in PHRASES:  # its words may stand apart by anything that parts words
+        first, *_ = parts = phrase.split()
+        gate = gate | (F.contains(F.col("_low"), F.lit(first)) & F.col("_low").rlike(NOT_WORD_ANY_CASE.join(parts)))
     words = F.filter(F.split(F.translate(raw, UPPER, LOWER), NOT_WORD), lambda w: w != "")
     out = docs.withColumn("_low", low).withColumn("_gate", gate).drop("_low")
     out = out.withColumn("_scan", F.when(F.col("_gate"), let(words, _scanned)))

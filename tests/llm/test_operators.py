@@ -285,3 +285,10 @@ def test_near_duplicate_recall_holds_at_depth(spark, monkeypatch):
     edges = near_duplicates.candidate_edges(sets, near_duplicates.THRESHOLD, near_duplicates.RECALL).collect()
     found = {frozenset((e["a"], e["b"])) for e in edges}
     assert sum(frozenset((f"a{i}", f"b{i}")) in found for i in range(pairs)) >= 0.995 * pairs
+
+
+def test_licence_gate_takes_words_apart(spark):
+    texts = ["All rights\nreserved.", "dedicated to the public-domain", "is distributed\n# under MIT", "subject  to\nthe MIT", "provided 'as-is', without any express or implied warranty", "AVAILABLE\n * UNDER zlib", "subject of a public (open) domain"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(rows).collect()}
+    assert got == dict(enumerate(["proprietary", "public-domain", "mit", "mit", "zlib", "zlib", ""]))
