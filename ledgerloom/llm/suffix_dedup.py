@@ -1,33 +1,45 @@
-"""Removal of repeated byte strings by suffix order, exact at any distance in the corpus.
+"""Removal of repeated strings by suffix order, exact at any distance in the corpus.
 
-A byte goes if a string of ``length`` bytes that covers it starts elsewhere as
-well.  Equal strings must meet in one task without all text meeting there:
+A text is a string of symbols, either its bytes or its words (by 64-bit hashes
+of them).  A symbol goes if a string of ``length`` symbols that covers it
+starts elsewhere as well.  Equal strings must meet in one task without all
+text meeting there:
 
-1. Every window of ``length`` bytes has an anchor, its 32-byte string of least
-   hash (leftmost of equals).  Equal windows have equal anchors, and the
-   windows of one anchor stand in a row; such a row is a *piece*.
+1. Every window of ``length`` symbols has an anchor, its short string (``gram``
+   symbols) of least hash, leftmost of equals.  Equal windows have equal
+   anchors, and the windows of one anchor stand in a row; such a row is a
+   *piece*.
 2. Pieces whose anchor occurs once are unique and go no further.  Pieces that
    are equal as a whole repeat as a whole, which counting hashes shows.
 3. The different pieces of an anchor meet in a shard.  There the suffix array
-   of their bytes, by prefix doubling up to ``length``, brings equal windows
+   of their symbols, by prefix doubling up to ``length``, brings equal windows
    together; the previous smaller position within a run of suffixes that share
-   ``length`` bytes is the longest-previous-factor match, so a window without
+   ``length`` symbols is the longest-previous-factor match, so a window without
    one is the first of its kind.
 4. An anchor with more different pieces than a shard should hold is narrowed:
    its windows are cut at fixed offsets into halves, each half with the longer
    string that all its windows share as its new anchor.  A half of one window
    has equal pieces only, so this ends, and nothing is capped.
 
+How often an anchor occurs is written down before it is joined, so that a join
+by a frequent anchor has a plain shuffle on both sides, which adaptive
+execution splits.
+
 ``keep="none"`` removes every copy, ``keep="first"`` leaves the first by
-(id, position).
+(id, position); rows without an id come first, rows of one id by a hash of
+their texts.
 
 ``remove_passages`` does the same for passages of more than 50 words, of any
-number of bytes: words below WORD bytes are filled up before the comparison.
+number of bytes: words below WORD bytes are filled up before the comparison,
+so ends stay exact to the byte.  ``removal_digest`` only reports passages, and
+finds them as strings of words, which are far fewer than bytes.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` are
 kept whole; matches never cross texts; repeated rows are copies of one another
 like any two texts (with ``keep="first"``, rows of one id and one text are one
-place and stay); an empty table stays empty; other columns are kept.
+place and stay); rows that share an id, or have none, are told apart by their
+texts; an empty table stays empty; other columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,6 +47,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -42,14 +55,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, frame, materialize, text_or_empty
-from .textscan import byte_values, mix, prefix_hash, substring_hash
+from .textscan import byte_values, mix, prefix_of, substring_hash, word_places
+
+
+class Unit(NamedTuple):
+    """What texts are strings of, how long a repeat is at least, and how long anchors are."""
+
+    words: bool
+    length: int
+    gram: int
+
+    @property
+    def size(self) -> int:
+        """Bytes of a symbol."""
+        return 8 if self.words else 1
+
 
 LENGTH = 400
+BYTES = Unit(words=False, length=LENGTH, gram=32)
+#: A passage of more than 50 words between white space.
+PASSAGE_WORDS = Unit(words=True, length=51, gram=8)
 #: Bytes that a word counts at least in ``remove_passages``.
 WORD = 7
 #: 51 words have 50 gaps and 49 words between them; the outer two may stick to other text.
-PASSAGE = 50 + 49 * WORD
-GRAM = 32
+PASSAGE = BYTES._replace(length=50 + 49 * WORD)
 CHUNK = 2 << 20
 SHARD_BYTES = 1 << 20
 #: Different pieces of one anchor that may meet in a shard.
@@ -70,20 +99,36 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchored_pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor, piece hash, anchor's offset) of every piece of the texts."""
+def symbols(texts: list[bytes], unit: Unit) -> list[np.ndarray]:
+    """The string of symbols of each text."""
+    if not unit.words:
+        return [np.frombuffer(t, dtype=np.uint8) for t in texts]
+    out: list[np.ndarray] = []
+    lo, held = 0, 0
+    for i, t in enumerate(texts):  # a few texts at a time
+        held += len(t)
+        if held >= CHUNK or i == len(texts) - 1:
+            h, _, _, who = word_places(texts[lo : i + 1])
+            out += np.split(h, np.searchsorted(who, np.arange(1, i + 1 - lo)))
+            lo, held = i + 1, 0
+    return out
+
+
+def anchored_pieces(strings: list[np.ndarray], unit: Unit) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, piece hash, anchor's offset) of every piece of the strings."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    length, gram = unit.length, unit.gram
 
-    def scan(parts: list[tuple[int, int, bytes]]) -> None:
-        raw = np.frombuffer(b"".join(p for _, _, p in parts), dtype=np.uint8)
+    def scan(parts: list[tuple[int, int, np.ndarray]]) -> None:
+        raw = np.concatenate([p for _, _, p in parts])
         size = np.array([len(p) for _, _, p in parts])
         ends = np.cumsum(size)
-        prefix = prefix_hash(raw, _VALUES)
-        at = np.arange(len(raw) - GRAM + 1)
-        h = substring_hash(prefix, at, at + GRAM)
+        prefix = prefix_of(raw | np.uint64(1) if unit.words else _VALUES[raw])
+        at = np.arange(len(raw) - gram + 1)
+        h = substring_hash(prefix, at, at + gram)
         bits = np.uint64(max(1, int(len(raw)).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
-        least = _sliding_min((h & ~low) | at.astype(np.uint64), length - GRAM + 1) & low
+        least = _sliding_min((h & ~low) | at.astype(np.uint64), length - gram + 1) & low
         who = np.repeat(np.arange(len(parts)), size)[: len(least)]
         ok = np.flatnonzero(np.arange(len(least)) + length <= ends[who])
         arg, who = least[ok].astype(np.int64), who[ok]
@@ -98,12 +143,12 @@ def anchored_pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         for col, x in zip(cols, (index[who], start - first[who] + base[who], n, h[arg].view(np.int64), piece.view(np.int64), rel), strict=True):
             col.append(x)
 
-    todo: list[tuple[int, int, bytes]] = []
-    held = 0
-    for i, t in enumerate(texts):
-        for lo in range(0, max(0, len(t) - length + 1), CHUNK):
-            part = t[lo : lo + CHUNK + length - 1]
-            if held and held + len(part) > CHUNK:
+    todo: list[tuple[int, int, np.ndarray]] = []
+    held, most = 0, CHUNK // unit.size
+    for i, t in enumerate(strings):
+        for lo in range(0, max(0, len(t) - length + 1), most):
+            part = t[lo : lo + most + length - 1]
+            if held and held + len(part) > most:
                 scan(todo)
                 todo, held = [], 0
             todo.append((i, lo, part))
@@ -114,17 +159,21 @@ def anchored_pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def suffix_ranks(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each start's ``length`` bytes in suffix order, equal for equal strings, by prefix doubling.
+    """Rank of each start's ``length`` symbols in suffix order, equal for equal strings, by prefix doubling.
 
-    ``ends``: for every byte, where its piece ends; strings don't cross it.
+    ``ends``: for every symbol, where its piece ends; strings don't cross it.
+    Eight bytes, or one word, are what the ranks begin with.
     """
     n = len(raw)
-    padded = np.r_[raw, np.zeros(8, dtype=np.uint8)].astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
+    key = raw
+    k = 1
+    if raw.dtype == np.uint8:
+        padded = np.r_[raw, np.zeros(8, dtype=np.uint8)].astype(np.uint64)
+        key = np.zeros(n, dtype=np.uint64)
+        for j in range(8):
+            key = (key << np.uint64(8)) | padded[j : j + n]
+        k = 8
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    k = 8
     # Three ranks fit in one key in a shard of usual size, so a step triples the length.
     bits = int(n).bit_length() + 1
     fold = 3 if 3 * bits <= 63 else 2
@@ -138,7 +187,7 @@ def suffix_ranks(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
         key[at + fold * k > ends] = -1
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         k *= fold
-    # Overlapping strings of k bytes cover the rest.
+    # Overlapping strings of k symbols cover the rest.
     offsets = [*range(0, length - k, k), length - k]
     rank_at = rank[starts]
     for o in offsets[1:]:
@@ -163,18 +212,21 @@ def previous_factor(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np
     return earlier, other
 
 
-def _shard(b: pd.DataFrame, length: int) -> pd.DataFrame:
+def _shard(b: pd.DataFrame, unit: Unit) -> pd.DataFrame:
     """Repeated window ranges of a shard's pieces: (anchor0, piece0, lo, hi, earlier)."""
-    data = b["bytes"].tolist()
+    data = b["symbols"].tolist()
     n = b["windows"].to_numpy()
-    size = np.array([len(x) for x in data])
+    size = np.array([len(x) // unit.size for x in data])
     first = np.cumsum(size) - size
-    raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+    raw = np.frombuffer(b"".join(data), dtype=np.uint64 if unit.words else np.uint8)
     owner = np.repeat(np.arange(len(data)), n)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rank = suffix_ranks(raw, np.repeat(first + size, size), first[owner] + off, length)
-    # Places compare as (id, start): ranks of pieces by place, then the offset.
-    by_place = np.lexsort((b["start"].to_numpy(), b["id"].to_numpy()))
+    rank = suffix_ranks(raw, np.repeat(first + size, size), first[owner] + off, unit.length)
+    # Places compare as (id, text, start), rows without an id first: ranks of pieces by place, then the offset.
+    ids = b["id"]
+    if ids.dtype == object:
+        ids = ids.map(lambda x: "" if x is None else x)
+    by_place = np.lexsort((b["start"].to_numpy(), b["text_key"].to_numpy(), ids.to_numpy(), b["id"].notna().to_numpy()))
     place = np.empty(len(data), dtype=np.int64)
     place[by_place] = np.arange(len(data))
     earlier, other = previous_factor(rank, place[owner] * (int(n.max()) + 1) + off)
@@ -199,9 +251,13 @@ def _shard(b: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def _narrow(pieces: DataFrame, level: int, length: int) -> DataFrame:
+_CUT = ["anchor0", "piece0", "base", "id", "text_key", "start", "windows", "rel", "anchor", "piece", "copies", "symbols"]
+
+
+def _narrow(pieces: DataFrame, level: int, unit: Unit) -> DataFrame:
     """Cuts the windows of each piece at the offsets of a level and anchors each part by what its windows share."""
-    span = length - GRAM + 1
+    length, z = unit.length, unit.size
+    span = length - unit.gram + 1
     width = max(1, -(-span // (1 << level)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,55 +269,61 @@ def _narrow(pieces: DataFrame, level: int, length: int) -> DataFrame:
                 for cell in range(o_lo // width, o_hi // width + 1):
                     c_lo, c_hi = cell * width, cell * width + width - 1
                     w_lo, w_hi = r.rel - min(c_hi, o_hi), r.rel - max(c_lo, o_lo)
-                    part = r.bytes[w_lo : w_hi + length]
-                    c_hi = min(c_hi, length - GRAM)
-                    common = r.bytes[r.rel - c_lo : r.rel - c_hi + length]
+                    part = r.symbols[z * w_lo : z * (w_hi + length)]
+                    c_hi = min(c_hi, length - unit.gram)
+                    common = r.symbols[z * (r.rel - c_lo) : z * (r.rel - c_hi + length)]
                     d = hashlib.blake2b(common, digest_size=8, person=b"%d" % cell).digest()
                     q = hashlib.blake2b(part + b"%d" % (r.rel - w_lo), digest_size=8).digest()
                     rows.append(
-                        (r.anchor0, r.piece0, r.base + w_lo, r.id, r.start + w_lo, w_hi - w_lo + 1, r.rel - w_lo,
+                        (r.anchor0, r.piece0, r.base + w_lo, r.id, r.text_key, r.start + w_lo, w_hi - w_lo + 1, r.rel - w_lo,
                          int.from_bytes(d, "little", signed=True), int.from_bytes(q, "little", signed=True), r.copies, part)
                     )
-            names = ["anchor0", "piece0", "base", "id", "start", "windows", "rel", "anchor", "piece", "copies", "bytes"]
-            yield frame(**{k: [x[i] for x in rows] for i, k in enumerate(names)})
+            yield frame(**{k: [x[i] for x in rows] for i, k in enumerate(_CUT)})
 
-    return pieces.select(
-        "anchor0", "piece0", "base", "id", "start", "windows", "rel", "anchor", "piece", "copies", "bytes"
-    ).mapInPandas(run, pieces.select("anchor0", "piece0", "base", "id", "start", "windows", "rel", "anchor", "piece", "copies", "bytes").schema)
+    return pieces.select(_CUT).mapInPandas(run, pieces.select(_CUT).schema)
 
 
-def _with_variants(pieces: DataFrame) -> DataFrame:
-    """Adds how many different pieces an anchor has."""
-    n = pieces.groupBy("anchor").agg(F.count("*").alias("variants"))
+def _with_variants(pieces: DataFrame, temps: list[DataFrame]) -> DataFrame:
+    """Pieces of anchors that have several, with their number; ``pieces`` is a written table."""
+    n = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), "variants")
+    temps.append(n)
     return pieces.join(n, "anchor")
 
 
-def _same_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _same_parts(parts: DataFrame, temps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Equal parts collapse to the first by place; the others, and the first if counted copies, repeat whole."""
     lead = parts.groupBy("anchor", "piece").agg(
-        F.min(F.struct("id", "start", "anchor0", "piece0", "base")).alias("m"), F.count("*").alias("n")
+        F.min(F.struct("id", "text_key", "start", "anchor0", "piece0", "base")).alias("m"), F.count("*").alias("n")
     )
+    lead = materialize(lead, "narrow-leads")
+    temps.append(lead)
     joined = parts.join(lead, ["anchor", "piece"])
-    is_lead = F.struct("id", "start", "anchor0", "piece0", "base") == F.col("m")
+    is_lead = F.struct("id", "text_key", "start", "anchor0", "piece0", "base").eqNullSafe(F.col("m"))
     again = joined.filter(F.col("n") > 1).select(
         "anchor0", "piece0", F.col("base").alias("lo"), (F.col("base") + F.col("windows") - 1).alias("hi"), (~is_lead).alias("earlier")
     )
     return joined.filter(is_lead).drop("m", "n"), again
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, unit: Unit, temps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Pieces whose anchor repeats, and the repeated window ranges of different pieces.
 
     ``docs``: (id, text).  Returns (id, text_key, start, windows, anchor,
-    piece, rel, copies, first) and (anchor, piece, lo, hi, earlier).
+    piece, rel, copies, first) and (anchor, piece, lo, hi, earlier); ``temps``
+    gets the tables written on the way.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
+    def written(df: DataFrame, label: str) -> DataFrame:
+        temps.append(materialize(df, label))
+        return temps[-1]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part = b.iloc[lo : lo + 1000]
-                who, start, n, anchor, piece, rel = anchored_pieces([t.encode("utf-8", "replace") for t in part["text"]], length)
+                strings = symbols([t.encode("utf-8", "replace") for t in part["text"]], unit)
+                who, start, n, anchor, piece, rel = anchored_pieces(strings, unit)
                 yield frame(
                     id=part["id"].iloc[who], text_key=part["text_key"].iloc[who], start=start,
                     windows=n.astype(np.int32), anchor=anchor, piece=piece, rel=rel.astype(np.int32),
@@ -269,80 +331,81 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
 
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     found = materialize(keyed.mapInPandas(scan, _PIECES.format(kind)), "pieces")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    pieces = materialize(found.join(twice, "anchor"), "repeated-pieces")
+    twice = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
+    pieces = written(found.join(twice, "anchor"), "repeated-pieces")
     drop_tables(found)
-    place = F.struct("id", "start", "text_key", "windows", "rel")
-    kinds = pieces.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(place).alias("lead"))
-    kinds = materialize(kinds, "kinds")
-    several = _with_variants(kinds).filter("variants > 1")
-    lead = several.select("anchor", "piece", "copies", "lead.*")
+    place = F.struct("id", "text_key", "start", "windows", "rel")
+    kinds = written(pieces.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(place).alias("lead")), "kinds")
+    lead = _with_variants(kinds, temps).select("anchor", "piece", "copies", "lead.*")
     wanted = lead.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "piece", "copies", "start", "windows", "rel")).alias("cuts"))
+    wanted = wanted.withColumnsRenamed({"id": "of_id", "text_key": "of_key"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, text, cuts in zip(b["id"], b["text"], b["cuts"], strict=True):
-                t = text.encode("utf-8", "replace")
+            strings = symbols([t.encode("utf-8", "replace") for t in b["text"]], unit)
+            for i, key, t, cuts in zip(b["id"], b["text_key"], strings, b["cuts"], strict=True):
                 for c in cuts:
                     s, w = c["start"], c["windows"]
-                    rows.append((c["anchor"], c["piece"], 0, i, s, w, c["rel"], c["anchor"], c["piece"], c["copies"], t[s : s + w - 1 + length]))
-            names = ["anchor0", "piece0", "base", "id", "start", "windows", "rel", "anchor", "piece", "copies", "bytes"]
-            yield frame(**{k: [x[j] for x in rows] for j, k in enumerate(names)})
+                    rows.append((c["anchor"], c["piece"], 0, i, key, s, w, c["rel"], c["anchor"], c["piece"], c["copies"], t[s : s + w - 1 + unit.length].tobytes()))
+            yield frame(**{k: [x[j] for x in rows] for j, k in enumerate(_CUT)})
 
-    schema = f"anchor0 long, piece0 long, base int, id {kind}, start long, windows int, rel int, anchor long, piece long, copies long, bytes binary"
-    cutter = keyed.join(wanted.hint("shuffle_hash"), ["id", "text_key"]).select("id", "text", "cuts").mapInPandas(cut, schema)
-    active = materialize(_with_variants(cutter.dropDuplicates(["anchor", "piece"])), "cut-pieces")
+    schema = f"anchor0 long, piece0 long, base int, id {kind}, text_key long, start long, windows int, rel int, anchor long, piece long, copies long, symbols binary"
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))
+    cutter = keyed.join(wanted.hint("shuffle_hash"), same).select("id", "text_key", "text", "cuts").mapInPandas(cut, schema)
+    active = written(_with_variants(written(cutter.dropDuplicates(["anchor", "piece"]), "cut-pieces"), temps), "active-pieces")
     ranges: list[DataFrame] = []
     level = 0
     while True:
         calm = active.filter(F.col("variants") <= VARIANTS)
-        total = calm.agg(F.sum(F.length("bytes")).alias("n")).first()["n"] or 0
+        total = calm.agg(F.sum(F.length("symbols")).alias("n")).first()["n"] or 0
         shards = max(1, -(-int(total) // SHARD_BYTES))
         compared = (
             calm.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
             .groupBy("shard")
-            .applyInPandas(lambda b: _shard(b, length), "anchor0 long, piece0 long, lo long, hi long, earlier boolean")
+            .applyInPandas(lambda b: _shard(b, unit), "anchor0 long, piece0 long, lo long, hi long, earlier boolean")
         )
-        ranges.append(materialize(compared, "ranges"))
+        ranges.append(written(compared, "ranges"))
         hot = active.filter(F.col("variants") > VARIANTS).drop("variants")
         if hot.isEmpty():
             break
         level += 1
-        parts = materialize(_narrow(hot, level, length), "narrowed")
-        leads, again = _same_parts(parts)
-        ranges.append(materialize(again.selectExpr("anchor0", "piece0", "cast(lo as long) lo", "cast(hi as long) hi", "earlier"), "ranges"))
-        active = materialize(_with_variants(leads).filter("variants > 1"), "narrow-pieces")
+        leads, again = _same_parts(written(_narrow(hot, level, unit), "narrowed"), temps)
+        ranges.append(written(again.selectExpr("anchor0", "piece0", "cast(lo as long) lo", "cast(hi as long) hi", "earlier"), "ranges"))
+        active = written(_with_variants(written(leads, "narrow-pieces"), temps), "active-pieces")
     out = ranges[0]
     for r in ranges[1:]:
         out = out.unionByName(r)
     out = out.withColumnsRenamed({"anchor0": "anchor", "piece0": "piece"})
-    lead_place = kinds.select("anchor", "piece", "copies", F.struct(F.col("lead.id"), F.col("lead.start"), F.col("lead.text_key")).alias("lead"))
-    pieces = pieces.join(lead_place, ["anchor", "piece"]).withColumn("first", F.struct("id", "start", "text_key") == F.col("lead")).drop("lead")
-    return pieces, out
+    lead_place = kinds.select("anchor", "piece", "copies", F.struct(F.col("lead.id"), F.col("lead.text_key"), F.col("lead.start")).alias("lead"))
+    is_first = F.struct("id", "text_key", "start").eqNullSafe(F.col("lead"))
+    return pieces.join(lead_place, ["anchor", "piece"]).withColumn("first", is_first).drop("lead"), out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """(id, text_key, spans) of texts with bytes to remove; spans are unmerged [start, end)."""
+def repeated_spans(docs: DataFrame, unit: Unit = BYTES, keep: str = "none") -> DataFrame:
+    """(id, text_key, spans) of texts with symbols to remove; spans are unmerged [start, end) in symbols."""
     if keep not in ("none", "first"):
         raise ValueError("keep must be none or first")
-    pieces, ranges = repeated_ranges(docs, length)
+    temps: list[DataFrame] = []
+    pieces, ranges = repeated_ranges(docs, unit, temps)
     whole = F.col("copies") > 1
     if keep == "first":
         whole = whole & ~F.col("first")
         ranges = ranges.filter("earlier")
-    full = pieces.filter(whole).select("id", "text_key", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
+    full = pieces.filter(whole).select("id", "text_key", "start", (F.col("start") + F.col("windows") - 1 + unit.length).alias("end"))
     part = (
         pieces.filter(~whole)
         .join(ranges.select("anchor", "piece", "lo", "hi"), ["anchor", "piece"])
-        .select("id", "text_key", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + length).alias("end"))
+        .select("id", "text_key", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + unit.length).alias("end"))
     )
     spans = full.unionByName(part).groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return materialize(spans, "spans")
+    spans = materialize(spans, "spans")
+    drop_tables(*temps)
+    return spans
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that spans cover."""
+    """Maximal runs of the symbols that spans cover."""
     out: list[list[int]] = []
     for a, b in sorted((s["start"], min(s["end"], size)) for s in spans):
         if out and a <= out[-1][1]:
@@ -366,22 +429,34 @@ def _fill(texts: pd.Series) -> pd.Series:
     return pd.Series([fill_words(t) for t in texts], dtype=object)
 
 
-def _joined(docs: DataFrame, id_column: str, text: str, length: int, keep: str, fill: bool = False) -> DataFrame:
-    whole = text_or_empty(text)
-    base = docs.withColumns({"_id": F.col(id_column), "_text": F.pandas_udf(_fill, "string")(whole) if fill else whole})
-    plain = base.select(F.col("_id").alias("id"), F.col("_text").alias("text"))
-    spans = repeated_spans(plain, length, keep).select(F.col("id").alias("_sid"), F.col("text_key").alias("_key"), "spans")
-    same = F.col("_id").eqNullSafe(F.col("_sid")) & (F.xxhash64("_text") == F.col("_key"))
-    return base.join(spans.hint("shuffle_hash"), same, "left").drop("_sid", "_key")
-
+def _with_spans(docs: DataFrame, id_column: str, text: str, found: list[tuple[Unit, str]], fill: bool = False) -> DataFrame:
+    """(row, id, text, spans0, spans1, ...): the table's own row as one column, so that no name of its columns matters.
 
-def removal_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    With ``fill``, text is the filled one, which spans count by.
+    """
+    whole = text_or_empty(text)
+    whole = F.pandas_udf(_fill, "string")(whole) if fill else whole
+    out = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), whole.alias("text"))
+    plain = out.select("id", "text")
+    for i, (unit, keep) in enumerate(found):
+        spans = repeated_spans(plain, unit, keep).select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("spans").alias(f"spans{i}"))
+        same = F.col("id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key"))
+        out = out.join(spans.hint("shuffle_hash"), same, "left").drop("of_id", "of_key")
+    return out
+
+
+def removal_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: Unit = BYTES, keep: str = "none") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) of every row.
+
+    The first five are what removal by ``unit`` does.  The last two tell which
+    passages of more than 50 words repeat: such a passage may be shorter than
+    ``unit`` asks for, so its bytes stay, but it is reported.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, spans in zip(b["_text"], b["spans"], strict=True):
+            for t, spans, again in zip(b["text"], b["spans0"], b["spans1"], strict=True):
                 t = t.encode("utf-8", "replace")
                 runs = merged(spans, len(t)) if spans is not None else []
                 h, at = hashlib.sha256(), 0
@@ -389,16 +464,19 @@ def removal_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     h.update(t[at:x])
                     at = y
                 h.update(t[at:])
-                rows.append((len(t), sum(y - x for x, y in runs), len(runs), h.hexdigest()))
-            yield frame(_id=b["_id"], **{k: [r[i] for r in rows] for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))})
+                places = merged(again, len(t)) if again is not None else []
+                rows.append((len(t), sum(y - x for x, y in runs), len(runs), h.hexdigest(), len(places), sum(y - x for x, y in places)))
+            names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words")
+            yield frame(id=b["id"], **{k: [r[i] for r in rows] for i, k in enumerate(names)})
 
     kind = docs.schema[id_column].dataType.simpleString()
-    joined = _joined(docs.select(id_column, text), id_column, text, length, keep).select("_id", "_text", "spans")
-    return joined.mapInPandas(run, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_id", id_column)
+    joined = _with_spans(docs.select(id_column, text), id_column, text, [(unit, keep), (PASSAGE_WORDS, keep)]).drop("row")
+    out = joined.mapInPandas(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
+    return out.withColumnRenamed("id", id_column)
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", fill: bool = False
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: Unit = BYTES, keep: str = "first", fill: bool = False
 ) -> DataFrame:
     """The table with repeated bytes taken out of its texts; runs shrink to whole characters.
 
@@ -426,17 +504,18 @@ def remove_repeats(
             out.append(b"".join(kept).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    joined = _joined(docs, id_column, text, length, keep, fill)
-    spans = F.coalesce("spans", F.array().cast(joined.schema["spans"].dataType))
-    new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(text_or_empty(text), "_text", spans))
-    return joined.withColumn(text, new).select(*docs.columns)
+    joined = _with_spans(docs, id_column, text, [(unit, keep)], fill)
+    spans = F.coalesce("spans0", F.array().cast(joined.schema["spans0"].dataType))
+    own = F.col("row")[text]
+    new = F.when(F.col("spans0").isNull(), own).otherwise(cut(F.coalesce(own.cast("string"), F.lit("")), "text", spans))
+    return joined.select(F.col("row").withField(f"`{text}`", new).alias("row")).select("row.*")
 
 
 def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "first") -> DataFrame:
     """Takes out every repeated passage of more than 50 words between white space, or of LENGTH bytes.
 
-    Any such passage has PASSAGE bytes once its words count WORD at least:
-    gaps and inner words by the sum above, and LENGTH bytes less a first
+    Any such passage has PASSAGE.length bytes once its words count WORD at
+    least: gaps and inner words by the sum above, and LENGTH bytes less a first
     word cut short.  A passage of 40 to 50 longer words can have as many.
     """
     return remove_repeats(docs, id_column, text, PASSAGE, keep, fill=True)

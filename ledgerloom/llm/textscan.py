@@ -29,8 +29,13 @@ def byte_values(seed: int) -> np.ndarray:
 
 def prefix_hash(raw: np.ndarray, values: np.ndarray) -> np.ndarray:
     """S with S[b] - S[a] = the sum of values[raw[i]] * BASE ** i over a <= i < b."""
-    out = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(values[raw] * powers(len(raw)), out=out[1:])
+    return prefix_of(values[raw])
+
+
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """The same for a 64-bit number at each place."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
     return out
 
 
@@ -51,6 +56,21 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _VALUES = byte_values(7)
 
 
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last, text) of every word, a run without white space; bytes count from the text's own start."""
+    raw = np.frombuffer(b"".join(t + b" " for t in texts), dtype=np.uint8)
+    if not len(raw):
+        z = np.zeros(0, dtype=np.int64)
+        return z.view(np.uint64), z, z, z
+    space = _SPACE[raw]
+    start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    end = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    who = np.searchsorted(ends, start, side="right")
+    first = ends - np.array([len(t) + 1 for t in texts])
+    return substring_hash(prefix_hash(raw, _VALUES), start, end), start - first[who], end - first[who], who
+
+
 def word_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words, and whose text each is from.
 

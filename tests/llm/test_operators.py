@@ -164,6 +164,36 @@ def test_suffix_dedup(spark, docs, monkeypatch, keep, variants):
         kept = np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         assert (got.loc[d].n_removed, got.loc[d].n_spans, got.loc[d].kept_sha256) == (int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    n, first = Counter(), {}
+    for d, t in zip(docs.doc_id, docs.text):
+        w = t.encode().split()
+        for i in range(len(w) - 50):
+            n[tuple(w[i : i + 51])] += 1
+            first.setdefault(tuple(w[i : i + 51]), (d, i))
+    for d, t in zip(docs.doc_id, docs.text):
+        w = t.encode().split()
+        again = np.zeros(len(w), dtype=bool)
+        for i in range(len(w) - 50):
+            p = tuple(w[i : i + 51])
+            if n[p] > 1 and (keep == "none" or first[p] != (d, i)):
+                again[i : i + 51] = True
+        runs = int((np.diff(np.r_[0, again.astype(int)]) == 1).sum())
+        assert (got.loc[d].n_passages, got.loc[d].n_passage_words) == (runs, int(again.sum()))
+
+
+def test_suffix_dedup_of_odd_ids_and_names(spark):
+    passage = " ".join(f"w{i}x" for i in range(140))
+    rows = [(None, f"a {passage} b"), (None, f"c {passage} d"), (1, f"e {passage} f"), (1, "other"), (2, f"g {passage}"), (None, None)]
+    names = "doc_id long, text string, id string, row string, spans0 string, of_id string, of_key string, _id string, _text string"
+    table = spark.createDataFrame([(*r, *"tuvwxyz") for r in rows], names)
+    got = sorted((r["doc_id"] or 0, r["n_removed"] > 0, r["n_passages"]) for r in suffix_dedup.removal_digest(table).collect())
+    assert got == [(0, False, 0), (0, True, 1), (0, True, 1), (1, False, 0), (1, True, 1), (2, True, 1)]
+    out = suffix_dedup.remove_repeats(table)
+    assert out.columns == table.columns
+    got = out.collect()
+    assert all((r["id"], r["row"], r["spans0"], r["_text"]) == ("t", "u", "v", "z") for r in got)
+    assert sum(passage in (r["text"] or "") for r in got) == 1 and sum(r["text"] is None for r in got) == 1
+    assert any(r["doc_id"] is None and passage in (r["text"] or "") for r in got)
 
 
 def test_sentencepiece_is_exact(docs):
