@@ -36,9 +36,32 @@ def fits(credit: Column, lo: Column, hi: Column) -> Column:
 
 
 def tightness(res: Column, width: Column, certain: Column) -> Column:
-    """1 for a residual of 0, falling to 0 at the tolerance; a wide interval costs up to half."""
+    """1 for a residual of 0, falling to 0 at the tolerance; an uncertain interval costs up to half by its width."""
     t = F.greatest(F.lit(0.0), 1 - F.abs(res) / F.lit(float(P.TOLERANCE)))
-    return F.when(certain, t).otherwise(t * F.greatest(F.lit(0.5), 1 - width / F.lit(2.0 * 100_000)))
+    return F.when(certain, t).otherwise(t * (1 - 0.5 * F.least(F.lit(1.0), width / F.lit(2.0 * P.TOLERANCE))))
+
+
+def gross_for(net: Column) -> Column:
+    """The least gross amount whose exact fees leave ``net``, null where none does: the fee model turned round."""
+    guess = F.floor(net / F.lit(1 - 0.022 * 1.18)).cast("long")
+
+    def left(gross: Column) -> Column:
+        base, tax = fee_and_tax(gross)
+        return gross - base - tax
+
+    near = F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda d: guess + d)
+    return F.array_min(F.filter(near, lambda g: left(g) == net)).cast("long")
+
+
+def implied_rate_note(credit: Column, gross: Column) -> Column:
+    """What deduction a residual implies, where the rate lies outside the band; else nothing."""
+    rate = (gross - credit) / gross
+    said = F.concat(F.lit("implies a "), F.format_number(100 * rate, 2), F.lit("% deduction, "))
+    band = f"{100 * P.RATE_LOW:.1f}-{100 * P.RATE_HIGH:.1f}%"
+    return (
+        F.when(gross <= 0, "").when(rate > P.RATE_HIGH, F.concat(said, F.lit(f"above the {band} band: a charge on top of the fee")))
+        .when(rate < P.RATE_LOW, F.concat(said, F.lit(f"below the {band} band: more arrived than a settlement would bring"))).otherwise("")
+    )
 
 
 def rupees(amount: Column) -> Column:

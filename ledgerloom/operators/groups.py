@@ -64,48 +64,50 @@ def candidate_groups(credits: list[tuple[int, int, str, list[tuple[int, int, str
     return found
 
 
-def settlement_groups(residue: DataFrame, pool: DataFrame) -> DataFrame:
-    """(merchant_id, txn_ids, payment_ids, credit, outcome): granted, ambiguous_grouping, or truncated
-    for a merchant, with null ids and credit.
+def settlement_groups(residue: DataFrame, pool: DataFrame, batch: tuple[str, ...] = ("merchant_id",)) -> DataFrame:
+    """(batch columns, txn_ids, payment_ids, credit, outcome): granted, ambiguous_grouping, or truncated
+    for a batch, with null ids and credit.
 
-    ``residue``: (txn_id, merchant_id, txn_date, credit).  What a task holds
-    for a merchant is bounded: at most MAX_GROUP_RESIDUE credits, with pools of
-    at most MAX_POOL.
+    ``residue``: (txn_id, batch columns, txn_date, credit); ``batch`` says what
+    one statement to reconcile is.  What a task holds for a batch is bounded:
+    at most MAX_GROUP_RESIDUE credits, with pools of at most MAX_POOL.
     """
-    sizes = residue.groupBy("merchant_id").agg(F.count("*").alias("n"))
-    small = residue.join(sizes.filter(F.col("n") <= P.MAX_GROUP_RESIDUE), "merchant_id", "left_semi")
+    by = list(batch)
+    sizes = residue.groupBy(*by).agg(F.count("*").alias("n"))
+    small = residue.join(sizes.filter(F.col("n") <= P.MAX_GROUP_RESIDUE), by, "left_semi")
     per_credit = pool.join(small.select("txn_id"), "txn_id", "left_semi").groupBy("txn_id").agg(F.count("*").alias("pool_size"))
     within = per_credit.filter(F.col("pool_size") <= P.MAX_POOL)
     items = pool.join(within, "txn_id", "left_semi").groupBy("txn_id").agg(F.collect_list(F.struct("lo", "hi", "payment_id")).alias("items"))
     # Credits with larger pools count as members of sets, but can't be in a group.
     lines = small.join(per_credit, "txn_id", "left").join(items, "txn_id", "left").select(
-        "merchant_id",
+        F.struct(*by).alias("batch"),
         F.struct(
             F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"), "credit", "txn_id",
             (F.coalesce("pool_size", F.lit(0)) > P.MAX_POOL).alias("large"), F.coalesce("items", F.array().cast("array<struct<lo:bigint,hi:bigint,payment_id:string>>")).alias("items"),
         ).alias("line"),
     )
-    folded = lines.groupBy("merchant_id").agg(F.collect_list("line").alias("lines"))
+    folded = lines.groupBy("batch").agg(F.collect_list("line").alias("lines")).withColumn("batch", F.to_json("batch"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for merchant, rows in zip(b["merchant_id"], b["lines"], strict=True):
+            for key, rows in zip(b["batch"], b["lines"], strict=True):
                 stuffed = [(-1, -1, f"?{i}") for i in range(P.MAX_POOL + 1)]
                 credits = [(r["day"], int(r["credit"]), r["txn_id"], stuffed if r["large"] else [(x["lo"], x["hi"], x["payment_id"]) for x in r["items"]]) for r in rows]
                 groups = candidate_groups(credits)
-                out += [(merchant, None, None, None)] if groups is None else [(merchant, t, p, c) for t, p, c in groups]
-            yield pd.DataFrame(out, columns=["merchant_id", "txn_ids", "payment_ids", "credit"])
+                out += [(key, None, None, None)] if groups is None else [(key, t, p, c) for t, p, c in groups]
+            yield pd.DataFrame(out, columns=["batch", "txn_ids", "payment_ids", "credit"])
 
-    kind = residue.schema["merchant_id"].dataType.simpleString()
-    found = folded.mapInPandas(search, f"merchant_id {kind}, txn_ids array<string>, payment_ids array<string>, credit long")
-    cut = sizes.filter(F.col("n") > P.MAX_GROUP_RESIDUE).select("merchant_id", *(F.lit(None).cast(t).alias(c) for c, t in (("txn_ids", "array<string>"), ("payment_ids", "array<string>"), ("credit", "long"))))
+    found = folded.mapInPandas(search, "batch string, txn_ids array<string>, payment_ids array<string>, credit long")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("txn_ids", "array<string>"), ("payment_ids", "array<string>"), ("credit", "long"))]
+    cut = sizes.filter(F.col("n") > P.MAX_GROUP_RESIDUE).select(F.to_json(F.struct(*by)).alias("batch"), *none)
     rows = found.unionByName(cut).withColumn("key", F.concat_ws("+", F.col("txn_ids")))
     uses = rows.filter("credit is not null").select("key", F.explode(F.concat("txn_ids", "payment_ids")).alias("used"))
     clean = uses.withColumn("n", F.count("*").over(Window.partitionBy("used"))).groupBy("key").agg((F.max("n") == 1).alias("clean"))
     outcome = F.when(F.col("credit").isNull(), "truncated").when(F.col("clean"), "granted").otherwise("ambiguous_grouping")
-    return rows.join(clean, "key", "left").select(
-        "merchant_id", F.array_join("txn_ids", "+").alias("txn_ids"), F.array_join("payment_ids", ",").alias("payment_ids"), "credit", outcome.alias("outcome")
+    kind = ", ".join(f"{c} {residue.schema[c].dataType.simpleString()}" for c in by)
+    return rows.join(clean, "key", "left").withColumn("b", F.from_json("batch", kind)).select(
+        "b.*", F.array_join("txn_ids", "+").alias("txn_ids"), F.array_join("payment_ids", ",").alias("payment_ids"), "credit", outcome.alias("outcome")
     )
 
 

@@ -1,9 +1,12 @@
-"""Matching tiers as joins: blocking, references, amounts, subsets, contests, rounds."""
+"""Matching tiers as joins: blocking, references, amounts, subsets, evidence, contests, rounds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +14,11 @@ from pyspark.sql import functions as F
 from ledgerloom import params as P
 from ledgerloom.functions import fees, narration
 
-_POOL_ITEM = "array<struct<lo:bigint,payment_id:string,hi:bigint,certain:boolean>>"
+#: Minor units of one bucket of amounts: an interval covers a few, a credit stands in one.
+BUCKET = 65_536
+#: Partial subsets that one step of the search may hold.
+CHUNK = 2_000_000
+NOTHING = -1e18  # strength of a claim without any evidence: below every weight
 
 
 def intervals(payments: DataFrame) -> DataFrame:
@@ -21,17 +28,47 @@ def intervals(payments: DataFrame) -> DataFrame:
     return payments.filter("captured").withColumns({"lo": lo - off, "hi": hi - off, "certain": certain})
 
 
-def parse(credits: DataFrame) -> DataFrame:
+def parse(credits: DataFrame, recover: bool = True) -> DataFrame:
+    """What narrations say; with ``recover``, gaps of unreadable ones are filled, and nothing read is overwritten."""
     n = F.col("narration")
-    return credits.withColumns(
+    name = narration.payer_name(n)
+    out = credits.withColumns(
         {
-            "style": narration.style(n),
-            "utr": narration.reference(n),
-            "merchant_ref": narration.merchant_ref(n),
-            "txns": narration.txn_count(n),
-            "payer": narration.payer_name(n),
+            "style": narration.style(n), "utr": narration.reference(n), "merchant_ref": narration.merchant_ref(n),
+            "settlement_id": narration.settlement_id(n), "txns": narration.txn_count(n), "_name": name,
         }
-    )
+    )
+    out = out.withColumn("payer", F.when(narration.name_is_clean(F.col("_name"), F.col("utr")), F.col("_name"))).drop("_name")
+    out = out.withColumn("needs_recovery", narration.needs_recovery(F.col("style"), F.col("payer")))
+    if recover:
+        gap = F.col("needs_recovery")
+        out = out.withColumns(
+            {
+                "merchant_ref": F.coalesce("merchant_ref", F.when(gap, narration.recovered_ref(n))),
+                "payer": F.coalesce("payer", F.when(gap, narration.recovered_name(n))),
+            }
+        )
+    return out
+
+
+def with_facts(credits: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Adds what outside evidence says of a credit: declared deductions, settlement date, customer that its payer may pay for."""
+    if facts is None:
+        return credits.withColumns({"declared": F.lit(0).cast("long"), "settled_on": F.lit(None).cast("date"), "authorised_for": F.lit(None).cast("string")})
+    out = credits.join(facts.select("txn_id", "declared", "settled_on", "authorised_for"), "txn_id", "left")
+    return out.withColumn("declared", F.coalesce("declared", F.lit(0)).cast("long"))
+
+
+def _target(credits: DataFrame) -> tuple[Column, Column]:
+    """What payments have to add up to, and the day that the lookback ends on."""
+    has = set(credits.columns)
+    target = F.col("credit") + F.col("declared") if "declared" in has else F.col("credit")
+    return target, F.coalesce("settled_on", "txn_date") if "settled_on" in has else F.col("txn_date")
+
+
+def _days(credits: DataFrame) -> Column:
+    _, last = _target(credits)
+    return F.explode(F.sequence(F.date_sub(last, P.LOOKBACK_DAYS), last))
 
 
 def candidate_pool(credits: DataFrame, payments: DataFrame) -> DataFrame:
@@ -40,37 +77,65 @@ def candidate_pool(credits: DataFrame, payments: DataFrame) -> DataFrame:
     Each credit becomes one row for each day of its window, so the join hashes
     on (merchant, day) and never compares days by range.
     """
-    days = F.explode(F.sequence(F.date_sub("txn_date", P.LOOKBACK_DAYS), F.col("txn_date")))
-    c = credits.select("txn_id", "merchant_id", "credit", "txns", days.alias("pay_date"))
+    target, _ = _target(credits)
+    c = credits.select("txn_id", "merchant_id", "credit", "txns", target.alias("target"), _days(credits).alias("pay_date"))
     p = payments.select("payment_id", "merchant_id", "pay_date", "lo", "hi", "certain")
-    return c.join(p, ["merchant_id", "pay_date"]).withColumn("residual", fees.residual(F.col("credit"), F.col("lo"), F.col("hi")))
+    return c.join(p, ["merchant_id", "pay_date"]).withColumn("residual", fees.residual(F.col("target"), F.col("lo"), F.col("hi")))
 
 
-def tier1(credits: DataFrame, payments: DataFrame) -> DataFrame:
-    """Hits of the quoted invoice number: how many, and the residual of the only one."""
-    c = credits.filter("merchant_ref is not null").select("txn_id", "merchant_id", "credit", F.col("merchant_ref").alias("invoice_no"))
-    hit = c.join(payments, ["merchant_id", "invoice_no"])
-    res = fees.residual(F.col("credit"), F.col("lo"), F.col("hi"))
-    return hit.groupBy("txn_id").agg(
-        F.count("*").alias("t1_hits"), F.min("payment_id").alias("t1_payment"), F.min(res).alias("t1_residual")
-    )
+def pool_sizes(credits: DataFrame, payments: DataFrame) -> DataFrame:
+    """Payments within each credit's lookback, two at least, by sums of daily counts: no pair is formed."""
+    daily = payments.groupBy("merchant_id", "pay_date").agg(F.count("*").alias("n"))
+    days = credits.select("txn_id", "merchant_id", _days(credits).alias("pay_date"))
+    size = F.greatest(F.lit(2).cast("long"), F.coalesce(F.sum("n"), F.lit(0)))
+    return days.join(daily, ["merchant_id", "pay_date"], "left").groupBy("txn_id").agg(size.alias("pool_size"))
 
 
-def tier2(pool: DataFrame) -> DataFrame:
-    """Payments of the pool that fit alone."""
-    return pool.filter(F.abs("residual") <= P.TOLERANCE).groupBy("txn_id").agg(
-        F.count("*").alias("t2_hits"), F.min("payment_id").alias("t2_payment"), F.min("residual").alias("t2_residual")
-    )
+def reference_hits(credits: DataFrame, payments: DataFrame) -> DataFrame:
+    """Distinct (txn_id, payment_id) that share a token: ids and invoice numbers on one side, quoted references on the other."""
+
+    def tokens(*columns: Column) -> Column:
+        known = F.filter(F.array(*(F.upper(c) for c in columns)), lambda t: t.isNotNull() & (t != ""))
+        return F.explode(F.array_distinct(known)).alias("token")
+
+    receipt = F.when(F.col("description").startswith("#"), F.substr("description", F.lit(2)))
+    p = payments.select("merchant_id", "payment_id", tokens(F.col("payment_id"), F.col("order_id"), F.col("bank_transaction_id"), F.col("invoice_no"), receipt))
+    c = credits.select("merchant_id", "txn_id", tokens(F.col("merchant_ref"), F.col("utr"), F.col("ref_no"), F.col("settlement_id")))
+    return c.join(p, ["merchant_id", "token"]).select("txn_id", "payment_id").distinct()
+
+
+def tier1(credits: DataFrame, payments: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Payments that a credit's references name: how many, and the residual of the only one."""
+    hits = reference_hits(credits, payments) if hits is None else hits
+    target, _ = _target(credits)
+    x = hits.join(credits.select("txn_id", target.alias("target")), "txn_id").join(payments.select("payment_id", "lo", "hi"), "payment_id")
+    res = fees.residual(F.col("target"), F.col("lo"), F.col("hi"))
+    return x.groupBy("txn_id").agg(F.count("*").alias("t1_hits"), F.min("payment_id").alias("t1_payment"), F.min(res).alias("t1_residual"))
 
 
-def cascade(credits: DataFrame, payments: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def amount_hits(credits: DataFrame, payments: DataFrame) -> DataFrame:
+    """(txn_id, payment_id, residual) of payments that fit a credit alone, joined on merchant, day and bucket of the amount."""
+    target, _ = _target(credits)
+    c = credits.select("txn_id", "merchant_id", target.alias("target"), _days(credits).alias("pay_date")).withColumn("bucket", F.floor(F.col("target") / BUCKET))
+    reach = F.sequence(F.floor((F.col("lo") - P.TOLERANCE) / BUCKET), F.floor((F.col("hi") + P.TOLERANCE) / BUCKET))
+    p = payments.select("payment_id", "merchant_id", "pay_date", "lo", "hi", F.explode(reach).alias("bucket"))
+    x = c.join(p, ["merchant_id", "pay_date", "bucket"]).withColumn("residual", fees.residual(F.col("target"), F.col("lo"), F.col("hi")))
+    return x.filter(F.abs("residual") <= P.TOLERANCE).select("txn_id", "payment_id", "residual")
+
+
+def tier2(fitting: DataFrame) -> DataFrame:
+    """How many payments fit a credit alone, and the only one."""
+    return fitting.groupBy("txn_id").agg(F.count("*").alias("t2_hits"), F.min("payment_id").alias("t2_payment"), F.min("residual").alias("t2_residual"))
+
+
+def cascade(credits: DataFrame, payments: DataFrame, refs: DataFrame | None = None, fitting: DataFrame | None = None) -> DataFrame:
     """First decisive verdict of the reference and amount tiers for every credit.
 
     A stated count other than one lets a single fit fall through; two fits
     refuse; a quoted reference whose amount doesn't fit is final.
     """
-    pool = candidate_pool(credits, payments) if pool is None else pool
-    x = credits.join(tier1(credits, payments), "txn_id", "left").join(tier2(pool), "txn_id", "left")
+    fitting = amount_hits(credits, payments) if fitting is None else fitting
+    x = credits.join(tier1(credits, payments, refs), "txn_id", "left").join(tier2(fitting), "txn_id", "left")
     single = F.coalesce(F.col("txns"), F.lit(1)) == 1
     fit1 = (F.col("t1_hits") == 1) & (F.abs("t1_residual") <= P.TOLERANCE)
     open1 = F.col("t1_hits").isNull() | (fit1 & ~single)
@@ -86,181 +151,299 @@ def cascade(credits: DataFrame, payments: DataFrame, pool: DataFrame | None = No
         "txn_id", "merchant_id", "credit", "txns", verdict.alias("verdict"), tier.alias("tier"),
         F.when(by1, F.col("t1_payment")).when(by2, F.col("t2_payment")).alias("payment_id"),
         F.when(by1, F.col("t1_residual")).when(by2, F.col("t2_residual")).alias("residual"),
+        # A single fit that the stated count speaks against; the subset search may still find the right number.
+        (~single & (F.coalesce(fit1, F.lit(False)) | (F.col("t2_hits") == 1))).alias("blocked"),
     )
 
 
-def subset_solutions(items: list[tuple[int, int, str]], target: int) -> tuple[list[list[str]], bool, int | None]:
-    """All subsets of up to MAX_SUBSET whose interval sum is within tolerance of the target.
+def subsets(lo: np.ndarray, hi: np.ndarray, start: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All subsets of up to MAX_SUBSET items whose interval sum fits their group's target, for many groups at once.
 
-    Items are (lo, hi, id).  Also says whether the search stopped at
-    MAX_SOLUTIONS, and the smallest miss beyond tolerance.  Items ascend by lo,
-    so a branch ends where the sum overshoots or can't reach the target.
+    Items of group g stand at [start[g], start[g + 1]), by (lo, id).  Returns
+    the groups and item bit masks of the fitting ones, and each group's
+    smallest miss beyond tolerance (-1 where there was none).  As many groups
+    are searched side by side as CHUNK partial subsets allow.
     """
-    items = sorted(items)
-    best_left = [0] * (len(items) + 1)
-    for i in range(len(items) - 1, -1, -1):
-        best_left[i] = best_left[i + 1] + max(items[i][1], 0)
-    found: list[list[str]] = []
-    miss: int | None = None
-    positive = all(lo >= 0 for lo, _, _ in items)
-    stack: list[tuple[int, int, int, tuple[str, ...]]] = [(0, 0, 0, ())]
-    while stack and len(found) < P.MAX_SOLUTIONS:
-        i, lo, hi, chosen = stack.pop()
-        if chosen:
-            gap = max(lo - target, target - hi, 0)
-            if gap <= P.TOLERANCE:
-                found.append(sorted(chosen))
-                if positive:
-                    continue
-            else:
-                miss = gap if miss is None else min(miss, gap)
-        if len(chosen) == P.MAX_SUBSET:
-            continue
-        for j in range(len(items) - 1, i - 1, -1):
-            if positive and lo + items[j][0] - target > P.TOLERANCE:
-                miss_here = lo + items[j][0] - target
-                miss = miss_here if miss is None else min(miss, miss_here)
-                continue
-            if positive and hi + best_left[j] < target - P.TOLERANCE:
-                continue
-            stack.append((j + 1, lo + items[j][0], hi + items[j][1], (*chosen, items[j][2])))
-    return found, bool(stack) and len(found) >= P.MAX_SOLUTIONS, miss
+    n = np.diff(start)
+    most = np.array([sum(comb(int(x), k) for k in range(P.MAX_SUBSET + 1)) for x in range(int(n.max(initial=0)) + 1)], dtype=np.int64)
+    parts = [_grown(lo, hi, start[s.start : s.stop + 1], target[s], s.start) for s in _slices(most[n], CHUNK)]
+    if not parts:
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, z
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _grown(lo: np.ndarray, hi: np.ndarray, start: np.ndarray, target: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsets grow by one item a step, all groups side by side.
+
+    One ends where its sum overshoots, where all that is left can't reach the
+    target, and where it fits.
+    """
+    lo, hi, start = lo[start[0] : start[-1]], hi[start[0] : start[-1]], start - start[0]
+    groups = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    place = np.arange(len(lo)) - start[groups]
+    after = np.r_[np.cumsum(np.maximum(hi, 0)[::-1])[::-1], 0]
+    reach = after[:-1] - after[start[groups + 1]]  # of an item and all behind it in its group
+    positive = np.ones(len(start) - 1, dtype=bool)
+    np.logical_and.at(positive, groups, lo >= 0)
+    none = np.iinfo(np.int64).max
+    miss = np.full(len(start) - 1, none)
+    found_g, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # The empty subset of every group: its group, the first item it may take, its sums and mask.
+    g, first = np.arange(len(start) - 1), start[:-1]
+    slo = shi = mask = np.zeros(len(g), dtype=np.int64)
+    for _ in range(P.MAX_SUBSET):
+        count = start[g + 1] - first
+        rep = np.repeat(np.arange(len(g)), count)
+        item = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        g, a, b, before = g[rep], slo[rep] + lo[item], shi[rep] + hi[item], shi[rep]
+        over = positive[g] & (a > target[g] + P.TOLERANCE)
+        near = over & (a - target[g] <= 2 * P.TOLERANCE)
+        np.minimum.at(miss, g[near], (a - target[g])[near])
+        ok = ~over & ~(positive[g] & (before + reach[item] < target[g] - P.TOLERANCE))
+        g, a, b, item, m = g[ok], a[ok], b[ok], item[ok], (mask[rep] | (np.int64(1) << place[item]))[ok]
+        gap = np.maximum(np.maximum(a - target[g], target[g] - b), 0)
+        fit = gap <= P.TOLERANCE
+        found_g.append(g[fit])
+        found_m.append(m[fit])
+        np.minimum.at(miss, g[~fit], gap[~fit])
+        grow = ~fit & (item + 1 < start[g + 1])
+        g, first, slo, shi, mask = g[grow], item[grow] + 1, a[grow], b[grow], m[grow]
+        if not len(g):
+            break
+    fg, fm = np.concatenate(found_g), np.concatenate(found_m)
+    at = np.lexsort((fm, fg))
+    return fg[at] + offset, fm[at], np.where(miss == none, -1, miss)
+
+
+def _slices(count: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive ranges whose counts add up to about ``most``."""
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right"))
+        hi = min(max(hi, lo + 1), len(count))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def subset_solutions(items: list[tuple[int, int, str]], target: int) -> tuple[list[list[str]], bool, int | None]:
+    """The subsets of (lo, hi, id) items that fit a target, whether they reach MAX_SOLUTIONS, and the smallest miss."""
+    items = sorted(items, key=lambda x: (x[0], x[2]))
+    lo, hi = (np.array([x[i] for x in items], dtype=np.int64) for i in (0, 1))
+    _, masks, miss = subsets(lo, hi, np.array([0, len(items)]), np.array([target], dtype=np.int64))
+    found = [sorted(items[i][2] for i in range(len(items)) if m >> i & 1) for m in masks.tolist()]
+    return found[: P.MAX_SOLUTIONS], len(found) >= P.MAX_SOLUTIONS, None if miss[0] < 0 else int(miss[0])
 
 
 def subset_sum(credits: DataFrame, pool: DataFrame) -> DataFrame:
     """Tier 3 for credits that the cheaper tiers left open.
 
     Pools above MAX_POOL refuse before any search, so a credit's array is
-    bounded; the search itself runs over Arrow batches.  A stated count takes
-    no part in the search: only a fit without rivals is held against it.
+    bounded; the search runs over Arrow batches, a whole batch at a time.  A
+    stated count takes no part in it: only a fit without rivals is held against
+    it.
     """
+    if "target" not in pool.columns:
+        pool = pool.withColumn("target", F.col("credit"))
     open_pool = pool.join(credits.select("txn_id"), "txn_id", "left_semi")
     size = open_pool.groupBy("txn_id").agg(F.count("*").alias("pool_size"))
     small = open_pool.join(size.filter(F.col("pool_size") <= P.MAX_POOL), "txn_id").groupBy("txn_id").agg(
-        F.first("credit").alias("credit"), F.first("txns").alias("txns"),
-        F.collect_list(F.struct("lo", "hi", "payment_id")).alias("items"),
+        F.first("target").alias("target"), F.first("txns").alias("txns"),
+        F.sort_array(F.collect_list(F.struct("lo", "payment_id", "hi"))).alias("items"),
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            items = b["items"].tolist()
+            start = np.cumsum([0, *map(len, items)])
+            lo, hi = (np.array([x[k] for i in items for x in i], dtype=np.int64) for k in ("lo", "hi"))
+            group, masks, miss = subsets(lo, hi, start, b["target"].to_numpy(dtype=np.int64))
+            edges = np.searchsorted(group, np.arange(len(items) + 1))
             out = []
-            for t, credit, txns, items in zip(b["txn_id"], b["credit"], b["txns"], b["items"], strict=True):
-                want = None if pd.isna(txns) else int(txns)
-                found, capped, miss = subset_solutions([(x["lo"], x["hi"], x["payment_id"]) for x in items], int(credit))
-                verdict = "solution_cap_reached" if capped else "no_subset_fits" if not found else "multiple_candidates" if len(found) > 1 else "assign"
-                if verdict == "assign" and want is not None and len(found[0]) != want:
-                    verdict = "narration_count_conflict"
-                margin = 1.0 if miss is None else min(max((miss - P.TOLERANCE) / P.TOLERANCE, 0.0), 1.0)
-                out.append((t, verdict, len(found), ",".join(found[0]) if verdict == "assign" else None, margin if verdict == "assign" else 0.0))
-            yield pd.DataFrame(out, columns=["txn_id", "t3_verdict", "solutions", "payment_ids", "margin"])
-
-    searched = small.mapInPandas(search, "txn_id string, t3_verdict string, solutions int, payment_ids string, margin double")
+            for g, (t, target, txns) in enumerate(zip(b["txn_id"], b["target"], b["txns"], strict=True)):
+                n = int(edges[g + 1] - edges[g])
+                verdict = "no_subset_fits" if not n else "assign" if n == 1 else "solution_cap_reached" if n >= P.MAX_SOLUTIONS else "multiple_candidates"
+                ids, residual = None, None
+                if n == 1:
+                    m = int(masks[edges[g]])
+                    chosen = [x for i, x in enumerate(items[g]) if m >> i & 1]
+                    a, z = sum(x["lo"] for x in chosen), sum(x["hi"] for x in chosen)
+                    ids, residual = ",".join(sorted(x["payment_id"] for x in chosen)), target - a if target < a else target - z if target > z else 0
+                    if not pd.isna(txns) and len(chosen) != int(txns):
+                        verdict = "narration_count_conflict"
+                margin = 1.0 if miss[g] < 0 else min(max((miss[g] - P.TOLERANCE) / P.TOLERANCE, 0.0), 1.0)
+                ok = verdict == "assign"
+                out.append((t, verdict, min(n, P.MAX_SOLUTIONS), ids if ok else None, residual if ok else None, margin if ok else 0.0))
+            yield pd.DataFrame(out, columns=["txn_id", "t3_verdict", "solutions", "payment_ids", "residual", "margin"]).astype({"residual": "Int64"})
+
+    searched = small.mapInPandas(search, "txn_id string, t3_verdict string, solutions int, payment_ids string, residual long, margin double")
     base = credits.select("txn_id").join(size, "txn_id", "left").join(searched, "txn_id", "left")
     verdict = (
         F.when(F.col("pool_size").isNull(), "no_candidate").when(F.col("pool_size") > P.MAX_POOL, "pool_exceeded").otherwise(F.col("t3_verdict"))
     )
-    return base.select("txn_id", verdict.alias("verdict"), F.coalesce("pool_size", F.lit(0)).alias("pool_size"), "solutions", "payment_ids", "margin")
+    return base.select("txn_id", verdict.alias("verdict"), F.coalesce("pool_size", F.lit(0)).alias("pool_size"), "solutions", "payment_ids", "residual", "margin")
 
 
 def resolve_contests(proposals: DataFrame) -> DataFrame:
-    """Grants a proposal iff no rival for any of its payments ranks as high.
+    """Grants a proposal iff it ranks strictly above every rival for any of its payments.
 
     ``proposals``: (txn_id, payment_ids, strength).  A window over each payment
-    finds its best two claims: no pair of claims is ever formed.
+    finds its best claim and how many share it: no pair of claims is ever
+    formed, and rivals that lose themselves count too.
     """
     claims = proposals.select("txn_id", "strength", F.explode(F.split("payment_ids", ",")).alias("payment_id"))
     w = Window.partitionBy("payment_id")
-    ranked = claims.withColumns(
-        {
-            "claims": F.count("*").over(w),
-            "top": F.max("strength").over(w),
-            "at_top": F.sum(F.lit(1)).over(Window.partitionBy("payment_id", "strength")),
-        }
-    )
+    ranked = claims.withColumns({"claims": F.count("*").over(w), "top": F.max("strength").over(w)})
+    ranked = ranked.withColumn("at_top", F.sum((F.col("strength") == F.col("top")).cast("int")).over(w))
     wins = (F.col("claims") == 1) | ((F.col("strength") == F.col("top")) & (F.col("at_top") == 1))
     return ranked.groupBy("txn_id").agg(F.bool_and(wins).alias("granted"), F.max("claims").alias("rivals"))
 
 
-def match(credits: DataFrame, payments: DataFrame, checkpoint=lambda df: df.checkpoint()) -> DataFrame:
-    """Rounds of propose, resolve and claim until nothing is granted: one verdict for every credit.
+def collision(values: DataFrame, value: Column) -> DataFrame:
+    """Chance that two of a merchant's rows share a value that isn't blank: the sum of squared shares, 1 without any."""
+    n = values.withColumn("v", value).filter("v is not null and v <> ''").groupBy("merchant_id", "v").agg(F.count("*").cast("double").alias("n"))
+    return n.groupBy("merchant_id").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("p"))
+
+
+def chance_agreement(payments: DataFrame, bank: DataFrame) -> DataFrame:
+    """(merchant_id, u_name, u_partial, u_reference, u_date): how often fields agree by chance, from the records themselves."""
+    folded = narration.normalise_name(F.col("customer_name"))
+    kinds = {"u_name": folded, "u_partial": F.get(F.split(folded, " "), 0), "u_reference": F.col("invoice_no")}
+    out = payments.select("merchant_id").distinct()
+    for name, value in kinds.items():
+        out = out.join(collision(payments, value).withColumnRenamed("p", name), "merchant_id", "left")
+    span = bank.groupBy("merchant_id").agg((F.datediff(F.max("txn_date"), F.min("txn_date")) + 1).alias("span"))
+    one = F.lit(1.0)
+    floor = lambda c: F.greatest(c, F.lit(P.EPSILON_U))
+    return out.join(span, "merchant_id", "left").select(
+        "merchant_id", floor(F.coalesce("u_name", one)).alias("u_name"),
+        floor(F.greatest(F.coalesce("u_partial", one), F.coalesce("u_name", one))).alias("u_partial"), floor(F.coalesce("u_reference", one)).alias("u_reference"),
+        floor(F.least(one, F.lit(P.LOOKBACK_DAYS + 1.0) / F.greatest(F.coalesce("span", F.lit(1)), F.lit(1)))).alias("u_date"),
+    )
+
+
+def evidence_weight(level: Column, m: float, u: Column, partial_u: Column | None = None) -> Column:
+    """log2 weight of an agreement level; an absent field counts 0."""
+    partial = F.log2(F.lit(0.5 * m) / F.least(F.lit(1.0), 4 * (u if partial_u is None else partial_u)))
+    return F.when(level == 2, F.log2(F.lit(m) / u)).when(level == 1, partial).when(level == 0, F.log2(F.lit(1 - m) / F.greatest(1 - u, F.lit(1e-9)))).otherwise(F.lit(0.0))
 
-    Every round's state is written down by ``checkpoint`` so that plans stay
-    short and a lost executor costs a reread.
+
+def evidence(proposals: DataFrame, credits: DataFrame, payments: DataFrame, u: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds name, reference and authorised-payer levels, the field weight, the total weight and whether the fields contradict.
+
+    Amount and date are no fields: they chose the candidates.  The weight is
+    null where nothing could be compared.
     """
-    from functools import reduce
+    ids = proposals.select("txn_id", F.explode(F.split("payment_ids", ",")).alias("payment_id"))
+    of = ids.join(payments.select("payment_id", narration.normalise_name(F.col("customer_name")).alias("name"), F.upper("invoice_no").alias("inv")), "payment_id")
+    sets = of.groupBy("txn_id").agg(F.collect_set(F.nullif("name", F.lit(""))).alias("names"), F.collect_set(F.nullif("inv", F.lit(""))).alias("invs"))
+    known = credits.select("txn_id", F.col("merchant_id").alias("_m"), narration.normalise_name(F.col("payer")).alias("payer"), F.upper("merchant_ref").alias("ref"), narration.normalise_name(F.col("authorised_for")).alias("asserted"))
+    x = proposals.join(sets, "txn_id", "left").join(known, "txn_id").join(u, F.col("_m") == u["merchant_id"]).drop(u["merchant_id"]).join(sizes, "txn_id")
+    name = F.array_max(F.transform("names", lambda n: narration.name_level(F.col("payer"), n)))
+    ref = F.when(F.col("ref").isNull() | (F.col("ref") == "") | (F.size("invs") == 0), None).when(F.array_contains("invs", F.col("ref")), 2).otherwise(0)
+    allowed = F.when((F.col("asserted") != "") & F.array_contains("names", F.col("asserted")), 2)
+    x = x.withColumns({"name_level": name, "ref_level": ref, "payer_level": allowed})
+    fields = (
+        evidence_weight(F.col("name_level"), P.M_NAME, F.col("u_name"), F.col("u_partial")) + evidence_weight(F.col("ref_level"), P.M_REFERENCE, F.col("u_reference"))
+        + evidence_weight(F.col("payer_level"), P.M_AUTHORISED, F.lit(P.U_AUTHORISED))
+    )
+    x = x.withColumn("field_weight", fields)
+    nothing = F.col("name_level").isNull() & F.col("ref_level").isNull() & F.col("payer_level").isNull()
+    prior = -F.log2((F.col("pool_size") - 1).cast("double"))
+    dissent = F.coalesce(F.col("name_level") == 0, F.lit(False)) | F.coalesce(F.col("ref_level") == 0, F.lit(False))
+    return x.withColumns({"weight": F.when(~nothing, prior + F.col("field_weight")), "contradicts": dissent & (F.col("field_weight") < 0)}).drop(
+        "names", "invs", "_m", "payer", "ref", "asserted", "u_name", "u_partial", "u_reference", "u_date", "pool_size"
+    )
+
+
+def evidence_band(weight: Column) -> Column:
+    """How a weight is reported; it never decides."""
+    return F.when(weight.isNull(), "no_evidence").when(weight >= P.FS_UPPER, "match").when(weight >= P.FS_LOWER, "review").otherwise("non_match")
+
 
-    parsed = checkpoint(parse(credits))
-    pay = checkpoint(intervals(payments))
+def evidence_probability(weight: Column) -> Column:
+    return 1 / (1 + F.pow(F.lit(2.0), -weight))
+
+
+def match_rounds(credits: DataFrame, payments: DataFrame, u: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rounds of propose, weigh, resolve and claim until nothing is granted: one row for every credit.
+
+    ``credits`` is parsed and has facts; ``payments`` has intervals.  What
+    references and amounts bring together is found once; a round only takes
+    away what is claimed.  Every round's state is written down by
+    ``checkpoint``, so plans stay short and a lost executor costs a reread.
+    """
+    columns = ["txn_id", "merchant_id", "credit", "verdict", "tier", "payment_ids", "residual", "margin", "weight"]
+    refs, fitting = checkpoint(reference_hits(credits, payments)), checkpoint(amount_hits(credits, payments))
+    sizes = checkpoint(pool_sizes(credits, payments))
+    rank = F.when(F.col("tier") == "tier1_reference", 2).when(F.col("tier") == "tier2_amount_date", 1).otherwise(0)
     granted: list[DataFrame] = []
-    last: DataFrame | None = None
+    left, free, rest = credits, payments, None
     for _ in range(P.MAX_ROUNDS):
-        if granted:
-            done = reduce(DataFrame.unionByName, granted)
-            left = parsed.join(done.select("txn_id"), "txn_id", "left_anti")
-            free = pay.join(done.select(F.explode(F.split("payment_ids", ",")).alias("payment_id")), "payment_id", "left_anti")
-        else:
-            left, free = parsed, pay
-        pool = candidate_pool(left, free)
-        first = checkpoint(cascade(left, free, pool))
-        third = subset_sum(first.filter("verdict = 'open'"), pool).withColumnRenamed("verdict", "v3")
+        first = checkpoint(cascade(left, free, refs, fitting))
+        open_ = left.join(first.filter("verdict = 'open'").select("txn_id"), "txn_id", "left_semi")
+        third = subset_sum(open_, candidate_pool(open_, free)).select("txn_id", F.col("verdict").alias("v3"), "payment_ids", F.col("residual").alias("r3"), F.col("margin").alias("m3"))
+        is_open = F.col("verdict") == "open"
+        none_left = F.col("v3") == "no_candidate"
+        v3 = F.when(none_left & F.col("blocked"), "narration_count_conflict").otherwise(F.col("v3"))
         x = first.join(third, "txn_id", "left").select(
-            "txn_id", "merchant_id", "credit",
-            F.when(F.col("verdict") == "open", F.col("v3")).otherwise(F.col("verdict")).alias("verdict"),
-            F.when(F.col("verdict") == "open", "tier3_subsetsum").otherwise(F.col("tier")).alias("tier"),
-            F.coalesce("payment_ids", "payment_id").alias("payment_ids"),
+            "txn_id", "merchant_id", "credit", F.when(is_open, v3).otherwise(F.col("verdict")).alias("verdict"),
+            F.when(is_open, F.when(none_left, "").otherwise("tier3_subsetsum")).otherwise(F.col("tier")).alias("tier"), F.coalesce("payment_ids", "payment_id").alias("payment_ids"),
+            F.when(is_open, F.col("r3")).otherwise(F.col("residual")).alias("residual"), F.when(is_open, F.col("m3")).when(F.col("verdict") == "assign", 1.0).otherwise(0.0).alias("margin"),
         )
-        strength = F.when(F.col("tier") == "tier1_reference", 3).when(F.col("tier") == "tier2_amount_date", 2).otherwise(1)
-        proposals = checkpoint(x.withColumn("strength", strength))
-        ruled = resolve_contests(proposals.filter("verdict = 'assign'"))
-        last = checkpoint(
-            proposals.join(ruled, "txn_id", "left").withColumn("verdict", F.when((F.col("verdict") == "assign") & ~F.col("granted"), "contested_payment").otherwise(F.col("verdict")))
-            .select("txn_id", "merchant_id", "credit", "verdict", "tier", "payment_ids")
-        )
-        new = last.filter("verdict = 'assign'")
+        x = checkpoint(x)
+        weighed = evidence(x.filter("verdict = 'assign'"), left, payments, u, sizes)
+        weighed = checkpoint(weighed.withColumn("verdict", F.when(F.col("contradicts"), "amount_name_conflict").otherwise("assign")).select(columns))
+        strength = F.struct(rank.alias("rank"), F.coalesce(F.round("weight", 6), F.lit(NOTHING)).alias("w"))
+        ruled = resolve_contests(weighed.filter("verdict = 'assign'").select("txn_id", "payment_ids", strength.alias("strength")))
+        ruled = weighed.join(ruled, "txn_id", "left").withColumn("verdict", F.when((F.col("verdict") == "assign") & ~F.col("granted"), "contested_payment").otherwise(F.col("verdict")))
+        rest = checkpoint(x.filter("verdict <> 'assign'").withColumn("weight", F.lit(None).cast("double")).select(columns).unionByName(ruled.select(columns)))
+        new = rest.filter("verdict = 'assign'")
         if new.isEmpty():
             break
         granted.append(new)
-    done = reduce(DataFrame.unionByName, granted) if granted else last.limit(0)
-    rest = last.join(done.select("txn_id"), "txn_id", "left_anti").withColumn("payment_ids", F.lit(None).cast("string"))
-    return done.unionByName(rest)
+        used = new.select(F.explode(F.split("payment_ids", ",")).alias("payment_id"))
+        left = checkpoint(left.join(new.select("txn_id"), "txn_id", "left_anti"))
+        free = checkpoint(free.join(used, "payment_id", "left_anti"))
+        refs, fitting = (checkpoint(h.join(new.select("txn_id"), "txn_id", "left_anti").join(used, "payment_id", "left_anti")) for h in (refs, fitting))
+    refused = rest.filter("verdict <> 'assign'").withColumn("payment_ids", F.lit(None).cast("string"))
+    return reduce(DataFrame.unionByName, granted, refused)
+
 
+def full_reversals(bank: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """Debits that name a posted credit's reference and take back exactly its amount, on or after its day.
 
-def full_reversals(bank: DataFrame) -> DataFrame:
-    """Debits that name a credit's reference and take back exactly its amount, on or after its day."""
+    ``posted``: (txn_id) of posted credits; without it, every credit counts.
+    """
     debits = bank.filter("credit = 0 and debit > 0")
-    tokens = debits.select(
-        F.col("txn_id").alias("debit_id"), "debit", F.col("txn_date").alias("debit_date"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.upper("narration"), F.lit("([A-Z0-9]{6,})"), 1))).alias("token"),
-    )
-    credits = bank.filter("credit > 0").select(F.col("txn_id").alias("credit_id"), "credit", "txn_date", F.upper("ref_no").alias("token"))
-    named = tokens.join(credits, "token")
-    hit = named.groupBy("debit_id").agg(
-        F.sum(((F.col("debit") == F.col("credit")) & (F.col("txn_date") <= F.col("debit_date"))).cast("int")).alias("exact"),
-        F.min(F.when(F.col("debit") == F.col("credit"), F.col("credit_id"))).alias("credit_id"),
-    )
-    kind = (
-        F.when(F.col("exact") == 1, "reversed").when(F.col("exact") > 1, "ambiguous_reversal")
-        .when(F.col("exact") == 0, "reverses_a_settlement_this_engine_refused")
-        .when(F.col("named_any"), "reverses_a_settlement_outside_this_batch").otherwise("no_settlement_named")
-    )
-    shaped = F.exists(
-        F.regexp_extract_all(F.upper("narration"), F.lit("([A-Z0-9]{6,})"), 1), lambda t: t.rlike("[A-Z]") & t.rlike(r"\d")
-    )
-    return debits.select(F.col("txn_id").alias("debit_id"), "debit", shaped.alias("named_any")).join(hit, "debit_id", "left").select(
-        "debit_id", "debit", kind.alias("outcome"), F.when(F.col("exact") == 1, F.col("credit_id")).alias("credit_id")
+    credits = bank.filter("credit > 0")
+    credits = credits if posted is None else credits.join(posted.select("txn_id").distinct(), "txn_id", "left_semi")
+    named = debit_tokens(debits).join(credits.select(F.col("txn_id").alias("credit_id"), "credit", "txn_date", F.upper("ref_no").alias("token")), "token")
+    exact = (F.col("debit") == F.col("credit")) & (F.col("txn_date") <= F.col("debit_date"))
+    hit = named.filter(exact).groupBy("debit_id").agg(F.countDistinct("credit_id").alias("exact"), F.min("credit_id").alias("credit_id"))
+    return debits.select(F.col("txn_id").alias("debit_id"), "debit").join(hit, "debit_id", "left").select(
+        "debit_id", "debit", F.coalesce("exact", F.lit(0)).alias("exact"), F.when(F.col("exact") == 1, F.col("credit_id")).alias("credit_id")
     )
 
 
-def evidence_weight(level: Column, m: float, u: Column) -> Column:
-    """log2 weight of an agreement level; an absent field counts 0."""
-    partial = F.log2(F.lit(0.5 * m) / F.least(F.lit(1.0), 4 * u))
-    return F.when(level == 2, F.log2(F.lit(m) / u)).when(level == 1, partial).when(level == 0, F.log2(F.lit(1 - m) / F.greatest(1 - u, F.lit(1e-9)))).otherwise(F.lit(0.0))
+def debit_tokens(debits: DataFrame) -> DataFrame:
+    """(debit_id, debit, debit_date, token): runs of six letters and digits at least."""
+    text = F.upper(F.concat_ws(" ", "ref_no", "narration"))
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit("([A-Z0-9]{6,})"), 1))
+    return debits.select(F.col("txn_id").alias("debit_id"), "debit", F.col("txn_date").alias("debit_date"), F.explode(runs).alias("token"))
 
 
-def confidence(weight: Column, uniqueness: Column, tight: Column) -> Column:
-    scaled = (
+def scaled_weight(weight: Column) -> Column:
+    """A weight on the scale of the confidence: no evidence is neutral, evidence that cancels out isn't."""
+    return (
         F.when(weight.isNull(), 0.5).when(weight >= P.FS_UPPER, 1.0)
         .when(weight >= P.FS_LOWER, F.least(F.lit(P.FS_REVIEW_CAP), 0.5 + 0.1 * (weight - P.FS_LOWER) / (P.FS_UPPER - P.FS_LOWER)))
         .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.5), weight / 8)))
     )
-    return 1 / (1 + F.exp(-(3.0 * tight + 2.0 * uniqueness + 1.5 * scaled - 2.5)))
+
+
+def confidence(weight: Column, uniqueness: Column, tight: Column, stable: Column | None = None) -> Column:
+    """The three layers as one number; 0 for an assignment that doesn't hold under every order."""
+    score = 1 / (1 + F.exp(-(3.0 * tight + 2.0 * uniqueness + 1.5 * scaled_weight(weight) - 2.5)))
+    return score if stable is None else F.when(stable >= 1.0, score).otherwise(0.0)

@@ -11,11 +11,12 @@ MAX_POOL, MAX_SUBSET, MAX_SOLUTIONS = 20, 6, 8
 MAX_ROUNDS = 6
 MATERIALITY = 500_000
 EPSILON_U = 1e-6
-M_NAME, M_REFERENCE = 0.90, 0.99
+M_NAME, M_REFERENCE, M_DATE, M_AUTHORISED = 0.90, 0.99, 0.95, 0.95
+U_AUTHORISED = 0.02
 FS_LOWER, FS_UPPER, FS_REVIEW_CAP = 4.0, 7.0, 0.6
 CORPORATE_WORDS = ("PVT", "LTD", "LIMITED", "PRIVATE", "LLP", "INC", "CO", "COMPANY", "CORP", "AND")
 GROUP_SPAN_DAYS, MAX_GROUP_CREDITS, MAX_GROUP_RESIDUE, MAX_GROUP_SETS = 2, 6, 40, 20_000
-PERMUTATIONS = 3
+PERMUTATIONS, PERMUTATIONS_FAST, PERMUTATIONS_INVARIANCE = 8, 3, 16
 SAMPLED_SHARE = 0.25
 # Desk of each category, hours and kind of each desk.
 DESKS = {
@@ -42,3 +43,15 @@ DESK_OF = {
     "ambiguous_reversal": "treasury_confirm",
     "no_settlement_named": "investigations",
 }
+# Banks by the letters that their references start with, and how a bank is known.
+BANK_OF_CODE = {
+    "AXIS": "Axis Bank", "UTIB": "Axis Bank", "HDFC": "HDFC Bank", "ICIC": "ICICI Bank", "KKBK": "Kotak Mahindra Bank", "PUNB": "Punjab National Bank",
+    "SBIN": "State Bank of India", "BARB": "Bank of Baroda", "CNRB": "Canara Bank", "IBKL": "IDBI Bank", "UBIN": "Union Bank of India", "UTBI": "United Bank of India",
+    "DEUT": "Deutsche Bank", "KVBL": "Karur Vysya Bank", "YESB": "Yes Bank", "INDB": "IndusInd Bank", "IDFB": "IDFC First Bank", "FDRL": "Federal Bank",
+}
+BANK_DERIVED, BANK_UNKNOWN, BANK_ABSENT = "derived from the transaction reference", "unrecognised bank code", "no transaction reference on this line"
+# Letters that a name cut short has at least, company forms in the order they are taken off.
+ENTITY_FLOOR = 8
+COMPANY_ENDINGS = (" PRIVATE LIMITED", " PVT LTD", " PVT LIMITED", " LIMITED", " LTD", " LLP", " AND CO", " CO")
+# Days that evidence may be old, and may lie after the batch.
+EVIDENCE_STALE_DAYS, EVIDENCE_SLACK_DAYS = 400, 10

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom import params as P
 from ledgerloom.functions import fees, narration
-from ledgerloom.operators import groups as G
 from ledgerloom.operators import matching as M
-from ledgerloom.plans.catalog import _cascade, _credits, _intervals, _pool, query
-from ledgerloom.plans.derive import bank_lines, invoices, payments
-from ledgerloom.plans.storage import checkpoint
+from ledgerloom.plans.catalog import _cascade, _credits, _intervals, _pool, bank_lines, invoices, outcome, payments, query
+from ledgerloom.plans.sql import MATCH, fold, level
 
 # What open credits are called on a worklist until the subset search has seen them.
 _CATEGORY = "CASE WHEN verdict = 'open' THEN 'no_candidate' ELSE verdict END"
@@ -21,8 +19,7 @@ _NOW = "2026-01-01 00:00:00"
 _ROUTES = ", ".join(f"('{c}', '{d}', {P.DESKS[d][0]}, {str(P.DESKS[d][1]).lower()})" for c, d in P.DESK_OF.items())
 _DESKS = ", ".join(f"('{d}', {h}, {str(i).lower()})" for d, (h, i) in P.DESKS.items())
 #: Every credit's best single payment, right or wrong: the claims of a matcher that never refuses.
-_NAIVE = """, naive AS (SELECT * FROM (SELECT txn_id, credit, payment_id, residual, row_number() OVER (PARTITION BY txn_id ORDER BY abs(residual), payment_id) AS r FROM pool) WHERE r = 1),
-audit AS (SELECT txn_id, payment_id, credit, count(*) OVER (PARTITION BY payment_id) > 1 AS double_posted, abs(residual) > 100 AS unbalanced FROM naive)"""
+_NAIVE = """, naive AS (SELECT * FROM (SELECT txn_id, credit, payment_id, residual, row_number() OVER (PARTITION BY txn_id ORDER BY abs(residual), payment_id) AS r FROM pool) WHERE r = 1)"""
 
 
 def _category() -> Column:
@@ -68,7 +65,7 @@ def reconciled_summary(spark, sf_dir):
     )
 
 
-@query("SELECT txn_id, payment_id, round(greatest(0, 1 - abs(residual) / 100.0) * CASE WHEN certain THEN 1 ELSE greatest(0.5, 1 - (hi - lo) / 200000.0) END, 9) AS tightness FROM pool")
+@query("SELECT txn_id, payment_id, round(greatest(0, 1 - abs(residual) / 100.0) * CASE WHEN certain THEN 1 ELSE 1 - 0.5 * least(1.0, (hi - lo) / 200.0) END, 9) AS tightness FROM pool")
 def residual_tightness(spark, sf_dir):
     t = fees.tightness(F.col("residual"), F.col("hi") - F.col("lo"), F.col("certain"))
     return _pool(spark, sf_dir).select("txn_id", "payment_id", F.round(t, 9).alias("tightness"))
@@ -81,49 +78,17 @@ def naive_matcher(spark, sf_dir):
     return _pool(spark, sf_dir).groupBy("txn_id").agg(best.alias("b")).select("txn_id", "b.payment_id", "b.residual")
 
 
-def audit_claims(claims: DataFrame, pay: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each claim (txn_id, payment_id) against the books: unknown ids, double posts, balance and window."""
-    x = claims.join(lines.select("txn_id", "credit", "txn_date"), "txn_id", "left").join(pay.select("payment_id", "pay_date", "lo", "hi"), "payment_id", "left")
-    days = F.datediff("txn_date", "pay_date")
-    n = F.count("*").over(Window.partitionBy("payment_id"))
-    return x.select(
-        "txn_id", "payment_id", "credit", (F.col("credit").isNull() | F.col("lo").isNull()).alias("unknown_id"), (n > 1).alias("double_posted"),
-        F.coalesce(~fees.fits(F.col("credit"), F.col("lo"), F.col("hi")), F.lit(False)).alias("unbalanced"),
-        F.coalesce((days < 0) | (days > P.LOOKBACK_DAYS), F.lit(False)).alias("out_of_window"),
-    )
-
-
-def _audit(spark, sf_dir) -> DataFrame:
-    return audit_claims(naive_matcher(spark, sf_dir), _intervals(spark, sf_dir), _credits(spark, sf_dir))
-
-
-@query(_NAIVE + " SELECT txn_id, payment_id, credit, false AS unknown_id, double_posted, unbalanced, false AS out_of_window FROM audit")
-def claims_audit(spark, sf_dir):
-    return _audit(spark, sf_dir)
-
-
-@query(_NAIVE + """ SELECT count(*) AS claims, sum(double_posted::INT)::BIGINT AS double_posted, sum(unbalanced::INT)::BIGINT AS unbalanced,
-sum((NOT double_posted AND NOT unbalanced)::INT)::BIGINT AS surviving, sum(CASE WHEN double_posted OR unbalanced THEN credit ELSE 0 END)::BIGINT AS exposure FROM audit""")
-def audit_rollup(spark, sf_dir):
-    bad = F.col("double_posted") | F.col("unbalanced") | F.col("unknown_id") | F.col("out_of_window")
-    count = lambda c: F.sum(c.cast("int"))
-    return _audit(spark, sf_dir).agg(
-        F.count("*").alias("claims"), count(F.col("double_posted")).alias("double_posted"), count(F.col("unbalanced")).alias("unbalanced"), count(~bad).alias("surviving"),
-        F.sum(F.when(bad, F.col("credit")).otherwise(0)).alias("exposure"),
-    )
-
-
 @query("SELECT c.txn_id FROM credits c WHERE c.txn_id NOT IN (SELECT txn_id FROM pool) UNION ALL SELECT txn_id FROM debits")
 def unexamined_lines(spark, sf_dir):
     """Bank lines that no candidate pool reaches, by subtraction."""
     seen = _pool(spark, sf_dir).select("txn_id").distinct()
-    return bank_lines(payments(spark, sf_dir)).select("txn_id").join(seen, "txn_id", "left_anti")
+    return bank_lines(spark, sf_dir).select("txn_id").join(seen, "txn_id", "left_anti")
 
 
 @query("SELECT ref_no, count(*) AS n, min(txn_id) AS first_txn FROM (SELECT regexp_extract(narration, '([A-Z]{4,6}[0-9]{8,16})', 1) AS ref_no, txn_id FROM bank) WHERE ref_no <> '' GROUP BY 1 HAVING count(*) > 1")
 def reference_siblings(spark, sf_dir):
     """References that several bank lines quote, a credit and its claw-back for one."""
-    b = bank_lines(payments(spark, sf_dir)).select("txn_id", F.regexp_extract("narration", "([A-Z]{4,6}[0-9]{8,16})", 1).alias("ref_no"))
+    b = bank_lines(spark, sf_dir).select("txn_id", F.regexp_extract("narration", "([A-Z]{4,6}[0-9]{8,16})", 1).alias("ref_no"))
     return b.filter("ref_no <> ''").groupBy("ref_no").agg(F.count("*").alias("n"), F.min("txn_id").alias("first_txn")).filter("n > 1")
 
 
@@ -137,32 +102,6 @@ def verdict_diff(spark, sf_dir):
     return both.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-@query("SELECT least(9, floor(confidence * 10))::INT AS decile, count(*) AS n, round(avg(good::INT), 6) AS accuracy FROM (SELECT 1 / (1 + exp(-(3.0 * (1 - abs(residual) / 100.0) + 2.0 + 1.5 * 0.5 - 2.5))) AS confidence, payment_id = 'pay_' || substr(txn_id, 4) AS good FROM cascade WHERE verdict = 'assign') GROUP BY 1")
-def confidence_deciles(spark, sf_dir):
-    c = M.confidence(F.lit(None).cast("double"), F.lit(1.0), 1 - F.abs("residual") / F.lit(100.0))
-    good = F.col("payment_id") == F.regexp_replace("txn_id", "^bt_", "pay_")
-    x = _cascade(spark, sf_dir).filter("verdict = 'assign'").select(F.least(F.lit(9), F.floor(c * 10).cast("int")).alias("decile"), good.cast("int").alias("good"))
-    return x.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg("good"), 6).alias("accuracy"))
-
-
-@query("SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS ece FROM (SELECT least(9, floor(confidence * 10)) AS d, count(*) AS n, avg(good::INT) AS accuracy, avg(confidence) AS confidence FROM (SELECT 1 / (1 + exp(-(3.0 * (1 - abs(residual) / 100.0) + 2.0 + 1.5 * 0.5 - 2.5))) AS confidence, payment_id = 'pay_' || substr(txn_id, 4) AS good FROM cascade WHERE verdict = 'assign') GROUP BY 1)")
-def calibration_error(spark, sf_dir):
-    c = M.confidence(F.lit(None).cast("double"), F.lit(1.0), 1 - F.abs("residual") / F.lit(100.0))
-    good = (F.col("payment_id") == F.regexp_replace("txn_id", "^bt_", "pay_")).cast("int")
-    x = _cascade(spark, sf_dir).filter("verdict = 'assign'").select(c.alias("c"), good.alias("good"))
-    bins = x.groupBy(F.least(F.lit(9), F.floor(F.col("c") * 10))).agg(F.count("*").alias("n"), F.avg("good").alias("a"), F.avg("c").alias("c"))
-    return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n"), 6).alias("ece"))
-
-
-@query("SELECT count(*) AS n, round(pow(0.025, 1.0 / count(*)), 9) AS lower_if_all_right, round(3.0 / count(*), 9) AS rate_if_no_error FROM cascade WHERE verdict = 'assign'")
-def precision_bounds(spark, sf_dir):
-    """Exact lower bound where every assignment is right, and the rule of three for unseen errors."""
-    n = F.count("*")
-    return _cascade(spark, sf_dir).filter("verdict = 'assign'").agg(
-        n.alias("n"), F.round(F.pow(F.lit(0.025), 1.0 / n), 9).alias("lower_if_all_right"), F.round(3.0 / n, 9).alias("rate_if_no_error")
-    )
-
-
 @query(f"SELECT txn_id, credit, CASE WHEN credit >= {P.MATERIALITY} THEN 'examined' ELSE 'sampled' END AS stratum FROM cascade WHERE verdict = 'assign' AND (credit >= {P.MATERIALITY} OR substr(md5('991' || txn_id), 1, 8) < '40000000')")
 def materiality_plan(spark, sf_dir):
     """All material assignments and a quarter of the others, drawn by a hash of the id: no order over all rows."""
@@ -185,12 +124,12 @@ def debit_tokens(spark, sf_dir):
     """Tokens of a debit that look like references: letters and digits, six at least."""
     runs = F.array_distinct(F.regexp_extract_all(F.upper("narration"), F.lit("([A-Z0-9]{6,})"), 1))
     shaped = F.filter(runs, lambda t: t.rlike("[A-Z]") & t.rlike("[0-9]"))
-    return bank_lines(payments(spark, sf_dir)).filter("debit > 0").select("txn_id", F.array_join(F.array_sort(shaped), ",").alias("tokens")).filter("tokens <> ''")
+    return bank_lines(spark, sf_dir).filter("debit > 0").select("txn_id", F.array_join(F.array_sort(shaped), ",").alias("tokens")).filter("tokens <> ''")
 
 
-@query("SELECT invoice_no, customer_name, amount AS gross FROM pay WHERE invoice_no IS NOT NULL AND (contains(lower(customer_name), 'orbit') OR contains(lower(invoice_no), 'orbit'))")
+@query("SELECT invoice_no, customer_name, gross FROM inv WHERE contains(lower(customer_name), 'orbit') OR contains(lower(invoice_no), 'orbit')")
 def invoice_search(spark, sf_dir):
-    return search_invoices(invoices(payments(spark, sf_dir)), "Orbit").select("invoice_no", "customer_name", "gross")
+    return search_invoices(invoices(spark, sf_dir), "Orbit").select("invoice_no", "customer_name", "gross")
 
 
 def search_invoices(ledger: DataFrame, text: str) -> DataFrame:
@@ -219,31 +158,10 @@ def filter_transactions(lines: DataFrame, direction: str = "", status: tuple[str
 def transactions_filter(spark, sf_dir):
     p = payments(spark, sf_dir)
     c = _cascade(spark, sf_dir).select("txn_id", F.col("verdict").alias("status"), "payment_id")
-    x = bank_lines(p).join(c, "txn_id").join(p.select("payment_id", "customer_name"), "payment_id", "left")
+    x = bank_lines(spark, sf_dir).join(c, "txn_id").join(p.select("payment_id", "customer_name"), "payment_id", "left")
     return filter_transactions(x, "credit", ("assign",), "LOTUS", "imps").select("txn_id", "credit")
 
 
-_FOLD = "trim(regexp_replace(regexp_replace(' ' || {} || ' ', ' (PVT|LTD|LLP) ', ' '), ' (PVT|LTD|LLP) ', ' '))"
-_AGREE = "len(list_filter(x, lambda p: len(list_filter(y, lambda q: p = q OR (least(length(p), length(q)) >= 3 AND (starts_with(p, q) OR starts_with(q, p))))) > 0)) / least(len(x), len(y)) >= 0.5"
-
-
-@query(f""", u AS (SELECT merchant_id, greatest(sum(n * n) / (sum(n) * sum(n)), 1e-6) AS u FROM (SELECT merchant_id, customer_name, count(*)::DOUBLE AS n FROM ivl GROUP BY 1, 2) GROUP BY 1),
-names AS (SELECT c.txn_id, c.payment_id, p.merchant_id, {_FOLD.format('k.name')} AS a, {_FOLD.format('p.customer_name')} AS b FROM cascade c JOIN ivl p USING (payment_id)
-  JOIN (SELECT 'bt_' || lpad(key::VARCHAR, 9, '0') AS txn_id, name, n FROM cr) k USING (txn_id) WHERE c.verdict = 'assign' AND k.n = 1),
-levels AS (SELECT *, CASE WHEN a = b THEN 2 WHEN {_AGREE} THEN 1 ELSE 0 END AS level FROM (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM names))
-SELECT txn_id, payment_id, level, round(CASE level WHEN 2 THEN log2(0.9 / u) WHEN 1 THEN log2(0.45 / least(1.0, 4 * u)) ELSE log2(0.1 / greatest(1 - u, 1e-9)) END, 6) AS weight FROM levels JOIN u USING (merchant_id)""")
-def fs_name_evidence(spark, sf_dir):
-    """Name agreement of every assignment as a log2 weight against chance."""
-    from ledgerloom.plans.catalog import u_estimates
-
-    c = _credits(spark, sf_dir).filter("txns is null").select("txn_id", narration.normalise_name(F.col("payer")).alias("a"))
-    p = _intervals(spark, sf_dir).select("payment_id", "merchant_id", narration.normalise_name(F.col("customer_name")).alias("b"))
-    x = _cascade(spark, sf_dir).filter("verdict = 'assign'").select("txn_id", "payment_id").join(c, "txn_id").join(p, "payment_id").join(u_estimates(spark, sf_dir), "merchant_id")
-    level = narration.name_level(F.col("a"), F.col("b"))
-    weight = M.evidence_weight(level, P.M_NAME, F.col("u"))
-    return x.select("txn_id", "payment_id", level.alias("level"), F.round(weight, 6).alias("weight"))
-
-
 @query("""SELECT txn_id, CASE verdict WHEN 'assign' THEN 'Rs ' || credit // 100 || '.' || lpad((credit % 100)::VARCHAR, 2, '0') || ' settles ' || payment_id || ', ' || abs(residual) || ' off'
 WHEN 'multiple_candidates' THEN 'several payments fit' WHEN 'unexplained_residual' THEN 'the quoted invoice settles for another amount' ELSE 'no single payment fits' END AS sentence FROM cascade""")
 def verdict_sentences(spark, sf_dir):
@@ -261,50 +179,3 @@ def run_payload(spark, sf_dir):
     return _cascade(spark, sf_dir).filter("verdict = 'assign'").select("txn_id", F.to_json(F.struct("txn_id", "credit", "payment_id", "tier")).alias("payload"))
 
 
-@query("SELECT merchant_id, sha256(string_agg(txn_id || '=' || payment_id, ',' ORDER BY txn_id, payment_id)) AS digest FROM cascade WHERE verdict = 'assign' GROUP BY 1")
-def assignment_digest(spark, sf_dir):
-    pairs = F.concat("txn_id", F.lit("="), "payment_id")
-    x = _cascade(spark, sf_dir).filter("verdict = 'assign'").groupBy("merchant_id").agg(F.array_join(F.array_sort(F.collect_list(pairs)), ",").alias("t"))
-    return x.select("merchant_id", F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
-
-
-@query("SELECT 0::BIGINT AS changed")
-def mr3_augmentation(spark, sf_dir):
-    """A payment that nothing can match, one for each merchant, changes no verdict."""
-    credits, pay = _credits(spark, sf_dir), _intervals(spark, sf_dir)
-    top = credits.groupBy("merchant_id").agg(F.max("credit").alias("m"), F.max("txn_date").alias("d"))
-    odd = top.select(
-        F.concat(F.lit("pay_none_"), F.col("merchant_id").cast("string")).alias("payment_id"), "merchant_id", F.date_add("d", 365).alias("pay_date"),
-        F.lit(None).cast("string").alias("invoice_no"), (F.col("m") * 10).alias("lo"), (F.col("m") * 10).alias("hi"), F.lit(True).alias("certain"),
-    )
-    base = pay.select(*odd.columns)
-    a, b = M.cascade(credits, base), M.cascade(credits, base.unionByName(odd))
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("changed"))
-
-
-def _matched(spark, sf_dir) -> DataFrame:
-    p = payments(spark, sf_dir)
-    return checkpoint(M.match(bank_lines(p).filter("credit > 0"), p, checkpoint))
-
-
-@query()
-def settlement_groups(spark, sf_dir):
-    """Groups among the credits that the rounds left open, over the payments they left free."""
-    m = _matched(spark, sf_dir)
-    used = m.filter("verdict = 'assign'").select(F.explode(F.split("payment_ids", ",")).alias("payment_id"))
-    left = _credits(spark, sf_dir).join(m.filter("verdict in ('no_subset_fits', 'no_candidate')").select("txn_id"), "txn_id", "left_semi")
-    free = _intervals(spark, sf_dir).join(used, "payment_id", "left_anti")
-    return G.settlement_groups(checkpoint(left), checkpoint(M.candidate_pool(left, free)))
-
-
-@query()
-def permutation_stability(spark, sf_dir):
-    """The whole match over differently ordered and partitioned inputs; 1.0 where every pass agrees."""
-    p = payments(spark, sf_dir)
-    c = bank_lines(p).filter("credit > 0")
-    runs = []
-    for i in range(P.PERMUTATIONS):
-        mix = lambda df, key, i=i: df if i == 0 else df.repartition(3 + 2 * i, F.xxhash64(key, F.lit(991 + i)))
-        out = M.match(mix(c, "txn_id"), mix(p, "payment_id"), checkpoint)
-        runs.append(out.filter("verdict = 'assign'").select(F.lit(i).alias("pass"), "txn_id", "payment_ids"))
-    return G.stability(reduce(DataFrame.unionByName, runs), P.PERMUTATIONS)
