@@ -119,14 +119,14 @@ class _Requests:
         self.grams, self.counts = [], []
         for lo in range(0, len(g), 200_000):
             x, n = g[lo : lo + 200_000], c[lo : lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), pa.array(x), pa.nulls(len(x), pa.binary()), pa.array(n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block, dtype=np.int32)), pa.array(x), pa.nulls(len(x), pa.binary()), pa.array(n)], names)
         # Words answer to their place in the block's sorted list: -1, -2 and so on.
         order = sorted(self.words)
         for lo in range(0, len(order), 50_000):
             part = order[lo : lo + 50_000]
             n = np.fromiter(map(self.words.__getitem__, part), dtype=np.int64, count=len(part))
             at = -1 - np.arange(lo, lo + len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(at), pa.array(part, pa.binary()), pa.array(n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, dtype=np.int32)), pa.array(at), pa.array(part, pa.binary()), pa.array(n)], names)
 
 
 def requests(blocks: DataFrame, order: int) -> DataFrame:
@@ -144,7 +144,7 @@ def requests(blocks: DataFrame, order: int) -> DataFrame:
             yield from held.pop(k).batches(k)
         release_memory()
 
-    return blocks.select("block", "train", "text").mapInArrow(run, "block long, gram long, word binary, n long")
+    return blocks.select("block", "train", "text").mapInArrow(run, "block int, gram long, word binary, n long")
 
 
 def discounts(levels: dict[int, DataFrame]) -> dict[int, float]:
@@ -162,10 +162,12 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     levels = {order: counts}
     for k in range(order - 1, -1, -1):
         mask = (1 << (8 * (k + 1))) - 1
-        levels[k] = (
+        # Written down: the discounts and the model both read it, and the next level is made of it.
+        levels[k] = materialize(
             levels[k + 1]
             .groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram"))
-            .agg(F.sum((F.col("n") > 0).cast("long")).alias("n"))
+            .agg(F.sum((F.col("n") > 0).cast("long")).alias("n")),
+            f"ppm-level-{k}",
         )
     discount = discounts(levels)
     below: DataFrame | None = None
@@ -226,7 +228,7 @@ def score_documents(
         rows, parts = rows.coalesce(few), few
     split = max(1, -(-int(total) // (parts * BLOCK_BYTES)))
     blocks = rows.withColumn(
-        "block", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("id", "text"), F.lit(split))
+        "block", (F.spark_partition_id() * split + F.pmod(F.xxhash64("id", "text"), F.lit(split))).cast("int")
     )
     asked = materialize(requests(blocks, order), "ppm-requests")
     grams = materialize(asked.filter("gram >= 0").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts")
@@ -303,10 +305,10 @@ def score_documents(
             }
         )
 
-    # One block to a task or so: what a task sorts is bounded by a block.
+    # One block to a task: what a task sorts is bounded by a block.
     n_blocks = parts * split
     return (
-        blocks.repartition(n_blocks, "block").groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block"))
+        blocks.repartitionById(n_blocks, "block").groupBy("block").cogroup(answers.repartitionById(n_blocks, "block").groupBy("block"))
         .applyInArrow(run, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         .withColumnRenamed("id", id_column)
     )
