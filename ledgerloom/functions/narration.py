@@ -161,8 +161,5 @@ def _cut_short(a: Column, b: Column) -> Column:
 
 def same_entity(bank: Column, known: Column) -> Column:
     """Whether a bank's payer, perhaps cut short, is a registered name, with or without the company form."""
-    forms = [(_folded(bank, s), _folded(known, t)) for s in (True, False) for t in (True, False)]
-    hit = F.lit(False)
-    for a, b in forms:
-        hit = hit | F.coalesce(_cut_short(a, b), F.lit(False))
-    return hit
+    a, b = (F.array(*(_folded(name, strip) for strip in (True, False))) for name in (bank, known))
+    return F.coalesce(F.exists(a, lambda x: F.exists(b, lambda y: F.coalesce(_cut_short(x, y), F.lit(False)))), F.lit(False))

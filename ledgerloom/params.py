@@ -55,3 +55,23 @@ ENTITY_FLOOR = 8
 COMPANY_ENDINGS = (" PRIVATE LIMITED", " PVT LTD", " PVT LIMITED", " LIMITED", " LTD", " LLP", " AND CO", " CO")
 # Days that evidence may be old, and may lie after the batch.
 EVIDENCE_STALE_DAYS, EVIDENCE_SLACK_DAYS = 400, 10
+# Evidence fields with their kind, tokens, and the tokens that name money kept back; source types; words that are verdicts.
+EVIDENCE_FIELDS = {
+    "authorised_payer_for": ("name", (), ()),
+    "refund_status": ("token", ("none", "partial", "full"), ("partial", "full")),
+    "tds_confirmed": ("token", ("withheld", "not_withheld"), ("withheld",)),
+    "credit_note_confirmed": ("token", ("issued", "none"), ("issued",)),
+    "settlement_date_confirmed": ("date", (), ()),
+    "bank_charge_confirmed": ("token", ("levied", "none"), ("levied",)),
+    "chargeback_status": ("token", ("none", "raised", "won", "lost"), ()),
+    "invoice_part_payment": ("token", ("paid_in_full", "short_paid"), ("short_paid",)),
+}
+EVIDENCE_SOURCES = ("payer_register", "invoice_ledger", "payment_record", "bank_statement", "model_assertion")
+VERDICT_WORDS = ("assign", "assigned", "refuse", "refused", "refusal", "no_candidate", "match", "matched", "unmatched", "approve", "approved", "reject", "rejected", "post", "posted", "confirm_match", "accept", "accepted")
+ID_SHAPES = r"(?i)^(pay_|order_|bank_txn|setl_|cand)|^[a-z]{4}[a-z0-9]{8,}$"
+BARE_NUMBER = r"^[-+]?[0-9][0-9,._]*%?$"
+# Who may look into a category, in order, and the categories that nobody may.
+SPECIALISTS = {
+    "amount_name_conflict": ("invoice",), "unexplained_residual": ("payment", "bank"), "no_subset_fits": ("invoice", "payment"), "pool_exceeded": ("bank",),
+}
+NEVER_INVESTIGATED = ("multiple_candidates", "ambiguous_grouping", "contested_payment", "solution_cap_reached", "order_dependent_assignment", "narration_count_conflict", "no_candidate")

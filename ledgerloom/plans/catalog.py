@@ -257,29 +257,6 @@ def exceptions_by_category(spark, sf_dir):
     return _cascade(spark, sf_dir).filter("verdict <> 'assign'").groupBy(F.col("verdict").alias("category")).agg(F.count("*").alias("n"), F.sum("credit").alias("at_risk"))
 
 
-@query("""SELECT 'verdict' AS facet, verdict AS value, count(*) AS n FROM cascade GROUP BY ALL UNION ALL
-SELECT 'tier', tier, count(*) FROM cascade WHERE tier <> '' GROUP BY ALL""")
-def transaction_facets(spark, sf_dir):
-    x = _cascade(spark, sf_dir)
-    pairs = F.explode(F.array(F.struct(F.lit("verdict").alias("facet"), F.col("verdict").alias("value")), F.struct(F.lit("tier").alias("facet"), F.col("tier").alias("value"))))
-    return x.select(pairs.alias("f")).select("f.*").filter("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT b.txn_id, b.credit - b.debit AS amount, coalesce(c.verdict, 'debit') AS status, c.payment_id, p.customer_name FROM bank b LEFT JOIN cascade c USING (txn_id) LEFT JOIN pay p USING (payment_id)""")
-def flat_transactions(spark, sf_dir):
-    p, b = payments(spark, sf_dir), bank_lines(spark, sf_dir)
-    c = _cascade(spark, sf_dir).select("txn_id", "verdict", "payment_id")
-    return b.join(c, "txn_id", "left").join(p.select("payment_id", "customer_name"), "payment_id", "left").select(
-        "txn_id", (F.col("credit") - F.col("debit")).alias("amount"), F.coalesce("verdict", F.lit("debit")).alias("status"), "payment_id", "customer_name"
-    )
-
-
-@query("SELECT txn_id, credit, verdict FROM cascade WHERE verdict <> 'assign' ORDER BY credit DESC, txn_id LIMIT 50 OFFSET 10")
-def transactions_page(spark, sf_dir):
-    """One page of exceptions by money at risk: a limit that is the feature."""
-    return _cascade(spark, sf_dir).filter("verdict <> 'assign'").orderBy(F.desc("credit"), "txn_id").offset(10).limit(50).select("txn_id", "credit", "verdict")
-
-
 @query("SELECT count(*) AS n, sum((verdict = 'assign')::INT)::BIGINT AS assigned, round(avg((verdict = 'assign')::INT), 6) AS match_rate, sum((verdict NOT IN ('assign', 'open'))::INT)::BIGINT AS refused FROM cascade")
 def headline_metrics(spark, sf_dir):
     a, r = (F.col("verdict") == "assign").cast("int"), (~F.col("verdict").isin("assign", "open")).cast("int")
@@ -345,4 +322,4 @@ def invoice_validation(spark, sf_dir):
     return readers.ledger_errors(ledger)
 
 
-from ledgerloom.plans import evidence, reports, verify  # noqa: E402, F401  (register their queries)
+from ledgerloom.plans import reports, verify, evidence, generate  # noqa: E402, F401, I001  (register their queries)
