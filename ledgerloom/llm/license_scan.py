@@ -7,13 +7,13 @@ ordered sweep then drops each interval that lies inside an interval of equal
 or higher priority.  All of this happens inside the row: no shuffle, and work
 that follows the number of keywords.
 
-The signatures are built from two short lists, licence names and sentence
-forms, with a priority for each form; their product gives some hundred
-patterns.
+There are two kinds of signatures: written ones, each a phrase of a licence's
+text, notice or title with its own priority, and those that every pair of a
+licence name and a sentence form makes.
 
 Defined cases: a null text is an empty one, with no words and no labels; an
 empty table stays empty; repeated rows are scanned row by row; other columns
-are kept.
+are kept, but for those of the result, which are set.
 """
 
 from __future__ import annotations
@@ -96,26 +96,131 @@ FORMS = (
     (2, 0.9, r"subject to (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
     (1, 0.8, r"(?:the )?{}(?: software)? licen[cs]e"),
 )
-# Signatures of licence texts and of bare families, which no list of names forms.
-OTHER = (
+# Written signatures: label, priority, confidence, a keyword of every match, and a pattern over lower-case words.
+# At most REACH words stand on either side of a match's anchor.
+WRITTEN = (
+    # Titles and bare families.
     ("apache", 0, 0.7, "apache", r"apache license"),
     ("gpl", 0, 0.7, "general", r"general public license"),
+    ("lgpl", 1, 0.75, "general", r"(?:lesser|library) general public license"),
+    ("agpl", 1, 0.75, "affero", r"affero general public license"),
+    ("mpl", 1, 0.75, "mozilla", r"mozilla public license"),
+    ("epl", 1, 0.75, "eclipse", r"eclipse public license"),
+    ("cddl", 1, 0.75, "common", r"common development and distribution license"),
+    ("eupl", 1, 0.75, "european", r"european union public licen[cs]e"),
+    ("artistic", 1, 0.75, "artistic", r"artistic license"),
+    ("creative-commons", 0, 0.6, "creative", r"creative commons (?:public )?licen[cs]e"),
+    ("gfdl", 1, 0.75, "documentation", r"free documentation license"),
+    ("ofl", 1, 0.75, "font", r"open font license"),
+    ("ms-rl", 2, 0.9, "reciprocal", r"microsoft reciprocal license"),
+    ("ibm-public", 2, 0.9, "ibm", r"ibm public license"),
+    ("qpl", 2, 0.9, "q public", r"q public license"),
+    ("npl", 2, 0.9, "netscape", r"netscape public license"),
+    ("sspl-1.0", 2, 0.9, "server", r"server side public license(?: version 1)?"),
+    ("bsl-1.1", 2, 0.9, "business", r"business source license(?: 1 1)?"),
+    ("elastic-2.0", 2, 0.9, "elastic", r"elastic license(?: 2 0)?"),
+    ("commons-clause", 2, 0.9, "commons clause", r"commons clause license condition"),
+    ("polyform", 2, 0.9, "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter|internal use) license"),
+    ("openrail", 2, 0.9, "rail", r"(?:creativeml )?open rail(?: m)? license"),
+    ("hippocratic", 2, 0.9, "hippocratic", r"hippocratic license"),
+    ("blueoak-1.0.0", 2, 0.9, "oak", r"blue oak model license(?: 1 0 0)?"),
+    ("mulan-psl-2.0", 2, 0.9, "mulan", r"mulan permissive software license(?: v ?2)?"),
+    ("cecill", 2, 0.9, "cecill", r"cecill(?: b| c)? (?:free software )?licen[cs]e"),
+    ("vim", 2, 0.9, "vim", r"vim license"),
+    ("w3c", 2, 0.9, "w3c", r"w3c software (?:notice and |and document )?license"),
+    ("unicode", 2, 0.9, "unicode", r"unicode (?:license agreement|license v3)"),
+    ("curl", 2, 0.9, "curl", r"curl license"),
+    ("icu", 2, 0.9, "icu", r"icu license"),
+    ("beerware", 2, 0.9, "beer", r"(?:beer ware|beerware) license"),
+    ("ogl-uk", 2, 0.9, "government", r"open government licen[cs]e(?: v ?[123](?: 0)?)?"),
+    ("etalab", 2, 0.9, "ouverte", r"licence ouverte(?: open licence)?"),
+    ("odc-by", 2, 0.9, "commons attribution", r"open data commons attribution license"),
+    ("pddl", 2, 0.9, "dedication", r"public domain dedication and license"),
+    ("wtfpl", 2, 0.9, "what the", r"do what the \w+ you want to public license"),
+    ("eula", 2, 0.9, "end user", r"end user licen[cs]e agreement"),
+    ("commercial", 1, 0.7, "commercial", r"commercial licen[cs]e(?: agreement)?"),
+    ("proprietary", 2, 0.8, "proprietary", r"proprietary and confidential"),
+    ("proprietary", 2, 0.8, "proprietary", r"proprietary licen[cs]e"),
+    ("proprietary", 1, 0.7, "reserved", r"all rights reserved"),
+    # Grants and conditions of licence texts.
     ("mit", 3, 0.95, "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 3, 0.9, "permission", r"above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 2, 0.8, "warranty", r"the software is provided as is without warranty of any kind express or implied"),
+    ("ncsa", 4, 0.95, "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software and documentation to deal"),
+    ("boost-1.0", 4, 0.95, "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("boost-1.0", 3, 0.9, "boost", r"boost software license version 1 0"),
     ("isc", 3, 0.95, "permission", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 2, 0.85, "warranties", r"the author disclaims all warranties with regard to this software"),
+    ("postgresql", 3, 0.9, "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("hpnd", 2, 0.85, "permission", r"permission to use copy modify and distribute this software and its documentation"),
     ("bsd", 3, 0.9, "redistribution", r"redistribution and use in source and binary forms with or without modification"),
+    ("bsd", 2, 0.85, "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", 2, 0.85, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 3, 0.92, "endorse", r"may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", 4, 0.95, "advertising", r"all advertising materials mentioning features or use of this software"),
+    ("bsd", 1, 0.8, "warranties", r"any express or implied warranties including but not limited to the implied warranties"),
     ("zlib", 3, 0.9, "implied", r"provided as is without any express or implied warranty"),
-    ("boost-1.0", 3, 0.9, "boost", r"boost software license version 1 0"),
-    ("proprietary", 1, 0.7, "reserved", r"all rights reserved"),
-    ("public-domain", 2, 0.8, "domain", r"(?:dedicated to|released into|in) the public domain"),
+    ("zlib", 3, 0.95, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 3, 0.95, "misrepresented", r"plainly marked as such and must not be misrepresented as being the original software"),
+    ("json", 4, 0.95, "evil", r"the software shall be used for good not evil"),
     ("unlicense", 3, 0.95, "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("unlicense", 2, 0.9, "unlicense", r"unlicense org"),
+    ("public-domain", 2, 0.8, "domain", r"(?:dedicated to|released into|in) the public domain"),
+    ("cc0-1.0", 3, 0.95, "waived", r"to the extent possible under law .{1,60} waived all copyright"),
+    ("cc0-1.0", 2, 0.9, "cc0", r"cc0 1 0 universal(?: public domain dedication| license)?"),
+    ("fsf-all-permissive", 3, 0.95, "permitted", r"with or without modification are permitted in any medium without royalty"),
+    ("gpl", 1, 0.7, "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("perl", 3, 0.9, "perl", r"(?:under|distributed under|licensed under) the same terms as perl(?: itself)?"),
+    ("ofl-1.1", 3, 0.95, "font", r"font software is licensed under the sil open font license(?: version 1 1)?"),
+    # Notices in source files.
+    ("apache-2.0", 4, 0.98, "apache", r"licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", 2, 0.9, "compliance", r"may not use this file except in compliance with the license"),
+    ("apache-2.0", 3, 0.95, "apache", r"apache org licenses license 2 0"),
+    ("apache-2.0", 1, 0.85, "basis", r"distributed under the license is distributed on an as is basis"),
+    ("apache-1.1", 3, 0.9, "apache", r"apache software license version 1 1"),
+    ("gpl-2.0-or-later", 4, 0.95, "version 2", r"free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", 4, 0.95, "version 3", r"free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", 3, 0.9, "version 2", r"free software foundation (?:either )?version 2 of the license"),
+    ("gpl-3.0", 3, 0.9, "version 3", r"free software foundation (?:either )?version 3 of the license"),
+    ("gpl", 2, 0.85, "redistribute", r"redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 3, 0.85, "redistribute", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", 3, 0.85, "redistribute", r"redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", 2, 0.85, "received", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", 2, 0.85, "received", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", 2, 0.85, "received", r"you should have received a copy of the gnu affero general public license"),
+    ("gpl", 1, 0.7, "warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-2.0", 4, 0.95, "1991", r"gnu general public license version 2 june 1991"),
+    ("gpl-3.0", 4, 0.95, "2007", r"gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", 4, 0.95, "1999", r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", 4, 0.95, "2007", r"gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", 4, 0.95, "2007", r"gnu affero general public license version 3 19 november 2007"),
+    ("classpath-exception", 3, 0.9, "permission", r"copyright holders of this library give you permission to link this library"),
+    ("mpl-2.0", 4, 0.95, "mozilla", r"subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 3, 0.9, "mpl", r"copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", 3, 0.9, "mozilla", r"subject to the mozilla public license version 1 1"),
+    ("epl-1.0", 3, 0.9, "eclipse", r"available under the terms of the eclipse public license v ?1 0"),
+    ("epl-2.0", 3, 0.9, "eclipse", r"available under the terms of the eclipse public license (?:v ?)?2 0"),
+    ("gfdl", 3, 0.9, "documentation", r"under the terms of the gnu free documentation license"),
+    ("cc-by-4.0", 3, 0.95, "attribution", r"creative commons attribution 4 0 international(?: public)? license"),
+    ("cc-by-sa-4.0", 3, 0.95, "sharealike", r"creative commons attribution sharealike 4 0 international(?: public)? license"),
+    ("cc-by-nc-4.0", 3, 0.95, "noncommercial", r"creative commons attribution noncommercial 4 0 international(?: public)? license"),
+    ("cc-by-nd-4.0", 3, 0.95, "noderiv", r"creative commons attribution noderivatives 4 0 international(?: public)? license"),
+    ("cc-by-nc-sa-4.0", 3, 0.95, "sharealike", r"creative commons attribution noncommercial sharealike 4 0 international(?: public)? license"),
+    ("cc-by-nc-nd-4.0", 3, 0.95, "noderiv", r"creative commons attribution noncommercial noderivatives 4 0 international(?: public)? license"),
+    ("python-2.0", 3, 0.9, "python", r"psf license agreement for python"),
+    ("python-2.0", 3, 0.9, "python", r"python software foundation license version 2"),
+    ("ruby", 2, 0.85, "ruby", r"(?:under the )?same license as ruby"),
 )
 
 # Words around which windows are cut: every match holds one of them.
-ANCHORS = ("license", "licence", "licensed", "spdx", "subject", "distributed", "released", "provided", "available", "redistributed", "permission", "redistribution", "reserved", "domain", "unencumbered")
+ANCHORS = (
+    "license", "licence", "licensed", "licenses", "spdx", "subject", "distributed", "released", "provided", "available", "redistributed", "permission", "redistribution", "redistributions",
+    "redistribute", "reserved", "domain", "unencumbered", "unlicense", "warranty", "warranties", "endorse", "advertising", "misrepresented", "evil", "waived", "cc0", "permitted", "perl", "proprietary",
+)
 # Parts of the anchors that a text is searched for before anything else.
-PREFILTER = ("licen", "spdx", "permission", "redistribution", "unencumbered")
+PREFILTER = ("licen", "spdx", "permission", "redistribut", "unencumbered", "warrant", "endorse", "misrepresented", "cc0")
 # Anchors too common to open the gate alone, with the words that a signature has beside them.
-PHRASES = ("subject to", "distributed under", "released under", "provided under", "available under", "provided as is", "rights reserved", "public domain")
+PHRASES = ("subject to", "distributed under", "released under", "provided under", "available under", "provided as is", "rights reserved", "public domain", "advertising materials", "not evil", "waived all", "proprietary and", "as perl", "modification are permitted")
 # Words of name patterns that don't tell one licence from another.
 GENERIC = frozenset("license licen version public software gnu only or later clause free of and v3 v2 v1 by nc nd sa".split())
 
@@ -127,7 +232,7 @@ def _gates(pattern: str) -> list[str]:
 
 
 def signature_count() -> int:
-    return len(FORMS) * len(NAMES) + len(OTHER)
+    return len(FORMS) * len(NAMES) + len(WRITTEN)
 
 
 def _rule(label: str, priority: int, confidence: float, gates: list[str], pattern: str) -> Column:
@@ -144,7 +249,7 @@ def _window_hits(window: Column, first: Column) -> Column:
     """What the signatures find in one window, as structs in the order of the sweep."""
     names = F.array(*(_rule(label, 0, 0.0, _gates(name), name) for label, name in NAMES))
     forms = F.array(*(_rule("", p, c, ["-"], rf"(?:^| ){form}(?= |$)") for p, c, form in FORMS))
-    others = F.array(*(_rule(label, p, c, [gate], rf"(?:^| ){pattern}(?= |$)") for label, p, c, gate, pattern in OTHER))
+    others = F.array(*(_rule(label, p, c, [gate], rf"(?:^| ){pattern}(?= |$)") for label, p, c, gate, pattern in WRITTEN))
 
     def open_rules(rules: Column) -> Column:
         return F.filter(rules, lambda r: F.exists(r["gates"], lambda g: F.contains(window, g)))
@@ -161,30 +266,31 @@ def _window_hits(window: Column, first: Column) -> Column:
             ),
         )
 
-    def hit(rule: Column) -> Column:
-        def interval(found: Column) -> Column:
-            before = F.substring(window, F.lit(1), F.regexp_instr(window, rule["pattern"]) - 1)
-            spaces = F.size(F.split(F.concat(before, found["lead"]), " ")) - 1
-            start = first + spaces
+    def hits(rule: Column) -> Column:
+        """Every match of the rule in the window, as intervals of words."""
+        texts = F.regexp_extract_all(window, rule["pattern"], F.lit(0))
+
+        def interval(parts: Column, text: Column, k: Column) -> Column:
+            # What stands before a match: the parts between matches, and the matches before it.
+            before = F.concat(F.array_join(F.slice(parts, 1, k + 1), ""), F.array_join(F.slice(texts, 1, k), ""))
+            lead = F.when(text.startswith(" "), " ").otherwise("")
+            start = first + F.size(F.split(F.concat(before, lead), " ")) - 1
             return F.struct(
                 start.cast("long").alias("start"),
-                (-(start + F.size(F.split(F.trim(found["text"]), " ")))).cast("long").alias("minus_end"),
+                (-(start + F.size(F.split(F.trim(text), " ")))).cast("long").alias("minus_end"),
                 (-rule["priority"]).alias("minus_priority"),
                 rule["label"].alias("label"),
                 rule["confidence"].alias("confidence"),
             )
 
-        text = F.regexp_substr(window, rule["pattern"])
-        return let(
-            text,
-            lambda t: F.when(
-                t.isNotNull(),
-                interval(F.struct(t.alias("text"), F.when(t.startswith(" "), " ").otherwise("").alias("lead"))),
-            ),
-        )
+        def located(found: Column) -> Column:
+            return let(F.split(window, rule["pattern"], -1), lambda parts: F.transform(found, lambda t, k: interval(parts, t, k)))
+
+        kind = "array<struct<start:bigint,minus_end:bigint,minus_priority:int,label:string,confidence:double>>"
+        return let(texts, lambda found: F.when(F.size(found) > 0, located(found)).otherwise(F.array().cast(kind)))
 
     rules = F.concat(F.flatten(F.transform(open_rules(names), formed)), open_rules(others))
-    return F.filter(F.transform(rules, hit), lambda x: x.isNotNull())
+    return F.flatten(F.transform(rules, hits))
 
 
 def _sweep(hits: Column) -> Column:
@@ -264,32 +370,37 @@ def _scanned(words: Column) -> Column:
     )
 
 
+#: Columns that a scan sets.
+RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, base places and labels, the signatures' labels and a score to every row."""
     raw = text_or_empty(text)
     low = F.lower(raw)  # only to open the gate; the words are lowered A-Z alone
     gate = F.lit(False)
     for part in PREFILTER:
-        gate = gate | F.contains(F.col("_low"), F.lit(part))
+        gate = gate | F.contains(F.col("low"), F.lit(part))
     for phrase in PHRASES:  # its words may stand apart by anything that parts words
         first, *_ = parts = phrase.split()
-        gate = gate | (F.contains(F.col("_low"), F.lit(first)) & F.col("_low").rlike(NOT_WORD_ANY_CASE.join(parts)))
-    words = F.filter(F.split(F.translate(raw, UPPER, LOWER), NOT_WORD), lambda w: w != "")
-    out = docs.withColumn("_low", low).withColumn("_gate", gate).drop("_low")
-    out = out.withColumn("_scan", F.when(F.col("_gate"), let(words, _scanned)))
-    base, found = F.col("_scan.base"), F.col("_scan.found")
+        gate = gate | (F.contains(F.col("low"), F.lit(first)) & F.col("low").rlike(NOT_WORD_ANY_CASE.join(parts)))
+    words = F.filter(F.split(F.translate("raw", UPPER, LOWER), NOT_WORD), lambda w: w != "")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT))
+    out = docs.select(row.alias("row"), raw.alias("raw"), low.alias("low"))
+    out = out.select("row", "raw", gate.alias("gate"))
+    out = out.select("row", "raw", F.when(F.col("gate"), let(words, _scanned)).alias("scan"))
+    base, found = F.col("scan.base"), F.col("scan.found")
     empty = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"]))), empty)
     labels = F.array_sort(F.array_union(base_labels, F.coalesce(found["labels"], empty)))
-    out = out.withColumns(
-        {
-            "n_words": F.coalesce(F.col("_scan.n_words"), F.size(F.filter(F.split(raw, NOT_WORD_ANY_CASE), lambda w: w != "")).cast("long")),
-            "n_base": F.coalesce(F.size(base), F.lit(0)).cast("long"),
-            "first_word": F.array_min(F.transform(base, lambda x: x["at"])),
-            "last_word": F.array_max(F.transform(base, lambda x: x["at"])),
-            "base_labels": F.array_join(base_labels, ","),
-            "labels": F.array_join(labels, ","),
-            "score": F.coalesce(found["confidence"], F.lit(0.0)),
-        }
+    n_words = F.size(F.filter(F.split("raw", NOT_WORD_ANY_CASE), lambda w: w != "")).cast("long")
+    return out.select(
+        "row.*",
+        F.coalesce(F.col("scan.n_words"), n_words).alias("n_words"),
+        F.coalesce(F.size(base), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["at"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["at"])).alias("last_word"),
+        F.array_join(base_labels, ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        F.coalesce(found["confidence"], F.lit(0.0)).alias("score"),
     )
-    return out.drop("_gate", "_scan")
