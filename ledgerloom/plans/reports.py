@@ -141,6 +141,18 @@ def run_payload(spark, sf_dir):
 
 
 
+def audit_claims(claims: DataFrame, pay: DataFrame, lines: DataFrame) -> DataFrame:
+    """Flags of single-payment claims (txn_id, payment_id) against the books; ``verify.audit`` has all checks."""
+    x = claims.join(lines.select("txn_id", "credit", "txn_date"), "txn_id", "left").join(pay.select("payment_id", "pay_date", "lo", "hi"), "payment_id", "left")
+    days = F.datediff("txn_date", "pay_date")
+    n = F.count("*").over(Window.partitionBy("payment_id"))
+    return x.select(
+        "txn_id", "payment_id", "credit", (F.col("credit").isNull() | F.col("lo").isNull()).alias("unknown_id"), (n > 1).alias("double_posted"),
+        F.coalesce(~fees.fits(F.col("credit"), F.col("lo"), F.col("hi")), F.lit(False)).alias("unbalanced"),
+        F.coalesce((days < 0) | (days > P.LOOKBACK_DAYS), F.lit(False)).alias("out_of_window"),
+    )
+
+
 # The statement as one table of the whole match
 
 
@@ -218,15 +230,16 @@ def filter_transactions(
         if bad := [x for x in given if x.lower() not in known]:
             raise ValueError(f"unknown {what}: {bad[0]}")
     tests = []
-    if direction:
-        tests.append(F.col("direction") == direction.lower())
+    has = set(rows.columns)
+    if direction:  # a statement says it, bare lines show it
+        tests.append(F.col("direction") == direction.lower() if "direction" in has else F.col(direction.lower()) > 0)
     if status:
         tests.append(F.col("status").isin(*[x.lower() for x in status]))
     if category:
         tests.append(F.col("category").isin(*[x.lower() for x in category]))
-    for text, columns in ((customer, ("customers", "invoices")), (bank, ("bank", "ref_no"))):
+    for text, columns in ((customer, ("customers", "invoices", "customer_name")), (bank, ("bank", "ref_no"))):
         if text:
-            tests.append(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(text.lower())) for c in columns)))
+            tests.append(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(text.lower())) for c in columns if c in has)))
     return rows.filter(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 

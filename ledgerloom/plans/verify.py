@@ -15,7 +15,6 @@ from ledgerloom.operators import matching as M
 from ledgerloom.operators import reconcile as R
 from ledgerloom.plans import derive
 from ledgerloom.plans.catalog import _cascade, _credits, _intervals, bank_lines, outcome, payments, query
-from ledgerloom.plans.reports import naive_matcher
 from ledgerloom.plans.sql import CHANCE, MATCH, THIRD_PARTY, evidence_sql, search_sql
 from ledgerloom.plans.storage import checkpoint, once
 
@@ -459,6 +458,8 @@ def audit_summary(findings: DataFrame, claims: DataFrame, credits: DataFrame) ->
 
 
 def _naive_claims(spark, sf_dir) -> DataFrame:
+    from ledgerloom.plans.reports import naive_matcher  # it registers its queries after these
+
     return naive_matcher(spark, sf_dir).select("txn_id", F.col("txn_id").alias("group_key"), F.array("payment_id").alias("payment_ids"))
 
 
