@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16 << 20
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -34,17 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in local tests, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and
+    all run on one machine, as in local tests, a temporary folder takes its
+    place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again.
 
     This cuts the lineage: a lost executor costs a reread, and what depends on
@@ -52,7 +58,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups: a writer of long texts holds one of them in memory.
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
