@@ -11,8 +11,8 @@ executors.
 
 Defined cases: a null or empty text has no words, every rule abstains and the
 posterior is the estimated share of good documents; an empty table returns an
-empty table; repeated rows are scored alike, row by row; columns of the input
-that are not returned are ignored, whatever their names.
+empty table; repeated rows are scored alike, row by row; other columns are
+kept whatever their names, but for those that ``score_quality`` sets.
 """
 
 from __future__ import annotations
@@ -81,25 +81,28 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sort_array(windows), covered)).cast("long")
 
 
-def rule_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts that the rules look at, in one pass over each text."""
-    t = F.col("_t")
-    out = docs.withColumn("_t", text_or_empty(text)).withColumn("_words", words_of(t))
-    out = out.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": _size_diff(t, "#*$%&|<>"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": let(F.col("_words"), _repeat_words),
-            "n_upper": _size_diff(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-            "n_exclaim": _size_diff(t, "!"),
-            "n_pipes": _size_diff(t, "|"),
-            "n_digits": _size_diff(t, "0123456789"),
-        }
-    ).drop("_t", "_words", "_lines")
+#: Columns that scoring sets.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim", "n_pipes", "n_digits")
+RESULT = (*STATISTICS, "votes", "quality_probability", "good")
+
+
+def rule_statistics(rows: DataFrame) -> DataFrame:
+    """The counts that the rules look at beside (row, text), in one pass over each text."""
+    t = F.col("text")
+    out = rows.withColumns({"words": words_of(t), "lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    counts = {
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.char_length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": _size_diff(t, "#*$%&|<>"),
+        "n_lines": F.size("lines").cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": let(F.col("words"), _repeat_words),
+        "n_upper": _size_diff(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_exclaim": _size_diff(t, "!"),
+        "n_pipes": _size_diff(t, "|"),
+        "n_digits": _size_diff(t, "0123456789"),
+    }
+    return out.select("row", *(counts[c].alias(c) for c in STATISTICS))
 
 
 def _ratios() -> dict[str, Column]:
@@ -197,16 +200,15 @@ def posterior(votes_col: Column, model: list[tuple[float, list[dict]]]) -> Colum
     return parts[0] / (parts[0] + bad)
 
 
-def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Adds the statistics, ``votes``, ``quality_probability`` and ``good``; ``keep`` names the columns to carry (all).
+def score_rows(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (the table's own row, or its columns ``keep``), the statistics, ``votes``, ``quality_probability`` and ``good``.
 
-    One pass over the texts writes the statistics and votes beside the other
-    columns to the shared folder; the pattern counts and the scores read those.
-    Nothing is shuffled but the pattern counts.
+    One pass over the texts writes the statistics and votes beside the rows to
+    the shared folder; the pattern counts and the scores read those.  Nothing
+    is shuffled but the pattern counts.
     """
-    voted = rule_statistics(docs, text).withColumn("votes", votes())
-    if keep is not None:
-        voted = voted.select(*keep, *(c for c in voted.columns if c not in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)))
+    voted = rule_statistics(docs.select(row.alias("row"), text_or_empty(text).alias("text"))).withColumn("votes", votes())
     voted = materialize(voted, "rule-votes")
     rows = voted.groupBy("votes").count().collect()  # at most 3 ** len(RULES) rows at any size
     model = fit(sorted((tuple(r["votes"]), r["count"]) for r in rows))
@@ -215,6 +217,13 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
     )
 
 
+def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The table (or its columns ``keep``) with the columns of RESULT; its own columns of those names give way."""
+    given = docs.columns if keep is None else keep
+    scored = score_rows(docs, text, threshold, tuple(c for c in given if c.lower() not in RESULT) or (docs.columns[0],))
+    return scored.select("row.*", *RESULT)
+
+
 def base_failed() -> Column:
     """Too few words, or most words inside repeated windows."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
