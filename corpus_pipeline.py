@@ -17,26 +17,19 @@ from ledgerloom.llm.common import bucket, materialize, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that probably are bad, or of which most words are repeated windows."""
-    scored = quality_rules.score_quality(docs)
     repeats = 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
-    return scored.filter(F.col("good") & ~repeats).select(*docs.columns)
+    return quality_rules.score_rows(docs).filter(F.col("good") & ~repeats).select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose nearest labelled examples are toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket(F.col("doc_id"), 5) != 0)
-    return toxicity.score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    return toxicity.score_rows(docs, model).filter("tox.toxicity < 0.5").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class."""
-    classes = near_duplicates.near_duplicate_classes(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept, "kept-ids")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if not kept.filter("n > 1").isEmpty():  # rows that repeat an id
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns)
+    """Keeps the document of least id of each class; rows of one id are told apart by their texts."""
+    return near_duplicates.keep_first(docs).select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
