@@ -332,15 +332,15 @@ def mr3_augmentation(spark, sf_dir):
     return _rerun(spark, sf_dir, "mr3", bank, pay.unionByName(odd)).verdicts.select("txn_id", "verdict", "payment_ids")
 
 
-@query(f"SELECT txn_id, false AS settled FROM verdicts WHERE NOT {SETTLED}", MATCH)
+@query("SELECT txn_id, false AS settled FROM rounds WHERE verdict <> 'assign'", MATCH)
 def mr6_residue(spark, sf_dir):
-    """The match over what it left, with the whole batch's chance agreement: nothing more is settled."""
+    """The rounds over the credits and payments that they left, with the whole batch's chance agreement: nothing more is settled."""
     out, bank = outcome(spark, sf_dir), bank_lines(spark, sf_dir)
-    open_ = out.verdicts.filter(f"not {SETTLED}").select("txn_id")
-    free = payments(spark, sf_dir).join(out.unassigned.select("payment_id"), "payment_id", "left_semi")
-    residue = bank.filter("credit > 0").join(open_, "txn_id", "left_semi")
+    done = out.verdicts.filter("verdict = 'assign'")
+    free = payments(spark, sf_dir).join(done.select(F.explode(F.split("payment_ids", ",")).alias("payment_id")), "payment_id", "left_anti")
+    residue = bank.filter("credit > 0").join(done.select("txn_id"), "txn_id", "left_anti")
     again = once(spark, sf_dir, "mr6", lambda: R.reconcile(residue, free, checkpoint, u=_u(spark, sf_dir)))
-    return again.verdicts.select("txn_id", F.col("verdict").isin("assign", "grouped").alias("settled"))
+    return again.verdicts.select("txn_id", (F.col("verdict") == "assign").alias("settled"))
 
 
 def _ensemble(spark, sf_dir) -> tuple[R.Outcome, DataFrame]:
