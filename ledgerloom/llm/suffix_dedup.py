@@ -54,16 +54,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, frame, materialize, text_or_empty
+from .common import drop_tables, frame, materialize, release_memory, text_or_empty
 from .textscan import byte_values, mix, prefix_of, substring_hash, word_places
 
 
 class Unit(NamedTuple):
-    """What texts are strings of, how long a repeat is at least, and how long anchors are."""
+    """What texts are strings of, how long a repeat is at least, how long anchors are, and whether short words are filled up first."""
 
     words: bool
     length: int
     gram: int
+    filled: bool = False
 
     @property
     def size(self) -> int:
@@ -78,8 +79,9 @@ PASSAGE_WORDS = Unit(words=True, length=51, gram=8)
 #: Bytes that a word counts at least in ``remove_passages``.
 WORD = 7
 #: 51 words have 50 gaps and 49 words between them; the outer two may stick to other text.
-PASSAGE = BYTES._replace(length=50 + 49 * WORD)
-CHUNK = 2 << 20
+PASSAGE = BYTES._replace(length=50 + 49 * WORD, filled=True)
+#: Bytes that one scan works on; it takes about 130 times as many in passing.
+CHUNK = 1 << 19
 SHARD_BYTES = 1 << 20
 #: Different pieces of one anchor that may meet in a shard.
 VARIANTS = 2048
@@ -99,12 +101,13 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def symbols(texts: list[bytes], unit: Unit) -> list[np.ndarray]:
+def symbols(given: list[str], unit: Unit) -> list[np.ndarray]:
     """The string of symbols of each text."""
     if not unit.words:
-        return [np.frombuffer(t, dtype=np.uint8) for t in texts]
+        return [np.frombuffer((fill_words(t) if unit.filled else t).encode("utf-8", "replace"), dtype=np.uint8) for t in given]
     out: list[np.ndarray] = []
     lo, held = 0, 0
+    texts = [t.encode("utf-8", "replace") for t in given]
     for i, t in enumerate(texts):  # a few texts at a time
         held += len(t)
         if held >= CHUNK or i == len(texts) - 1:
@@ -222,6 +225,7 @@ def _shard(b: pd.DataFrame, unit: Unit) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(data)), n)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     rank = suffix_ranks(raw, np.repeat(first + size, size), first[owner] + off, unit.length)
+    release_memory()
     # Places compare as (id, text, start), rows without an id first: ranks of pieces by place, then the offset.
     ids = b["id"]
     if ids.dtype == object:
@@ -287,7 +291,7 @@ def _with_variants(pieces: DataFrame, temps: list[DataFrame]) -> DataFrame:
     """Pieces of anchors that have several, with their number; ``pieces`` is a written table."""
     n = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1"), "variants")
     temps.append(n)
-    return pieces.join(n, "anchor")
+    return pieces.join(n.hint("shuffle_hash"), "anchor")
 
 
 def _same_parts(parts: DataFrame, temps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -320,19 +324,20 @@ def repeated_ranges(docs: DataFrame, unit: Unit, temps: list[DataFrame]) -> tupl
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo : lo + 1000]
-                strings = symbols([t.encode("utf-8", "replace") for t in part["text"]], unit)
+            for lo in range(0, len(b), 250):
+                part = b.iloc[lo : lo + 250]
+                strings = symbols(part["text"].tolist(), unit)
                 who, start, n, anchor, piece, rel = anchored_pieces(strings, unit)
                 yield frame(
                     id=part["id"].iloc[who], text_key=part["text_key"].iloc[who], start=start,
                     windows=n.astype(np.int32), anchor=anchor, piece=piece, rel=rel.astype(np.int32),
                 )
+        release_memory()
 
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = materialize(keyed.mapInPandas(scan, _PIECES.format(kind)), "pieces")
+    found = materialize(keyed.mapInPandas(scan, _PIECES.format(kind)), "pieces", "lz4")  # mostly hashes, which don't compress
     twice = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
-    pieces = written(found.join(twice, "anchor"), "repeated-pieces")
+    pieces = written(found.join(twice.hint("shuffle_hash"), "anchor"), "repeated-pieces")
     drop_tables(found)
     place = F.struct("id", "text_key", "start", "windows", "rel")
     kinds = written(pieces.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(place).alias("lead")), "kinds")
@@ -343,8 +348,8 @@ def repeated_ranges(docs: DataFrame, unit: Unit, temps: list[DataFrame]) -> tupl
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            strings = symbols([t.encode("utf-8", "replace") for t in b["text"]], unit)
-            for i, key, t, cuts in zip(b["id"], b["text_key"], strings, b["cuts"], strict=True):
+            for i, key, text, cuts in zip(b["id"], b["text_key"], b["text"], b["cuts"], strict=True):
+                t = symbols([text], unit)[0]
                 for c in cuts:
                     s, w = c["start"], c["windows"]
                     rows.append((c["anchor"], c["piece"], 0, i, key, s, w, c["rel"], c["anchor"], c["piece"], c["copies"], t[s : s + w - 1 + unit.length].tobytes()))
@@ -379,7 +384,8 @@ def repeated_ranges(docs: DataFrame, unit: Unit, temps: list[DataFrame]) -> tupl
     out = out.withColumnsRenamed({"anchor0": "anchor", "piece0": "piece"})
     lead_place = kinds.select("anchor", "piece", "copies", F.struct(F.col("lead.id"), F.col("lead.text_key"), F.col("lead.start")).alias("lead"))
     is_first = F.struct("id", "text_key", "start").eqNullSafe(F.col("lead"))
-    return pieces.join(lead_place, ["anchor", "piece"]).withColumn("first", is_first).drop("lead"), out
+    placed = pieces.join(lead_place.hint("shuffle_hash"), ["anchor", "piece"]).withColumn("first", is_first).drop("lead")
+    return written(placed, "placed-pieces"), out
 
 
 def repeated_spans(docs: DataFrame, unit: Unit = BYTES, keep: str = "none") -> DataFrame:
@@ -425,18 +431,9 @@ def fill_words(t: str) -> str:
     return re.sub(rf"(?<!\S)\S{{1,{WORD - 1}}}(?!\S)", _filled, t.replace("\0", "\1"))
 
 
-def _fill(texts: pd.Series) -> pd.Series:
-    return pd.Series([fill_words(t) for t in texts], dtype=object)
-
-
-def _with_spans(docs: DataFrame, id_column: str, text: str, found: list[tuple[Unit, str]], fill: bool = False) -> DataFrame:
-    """(row, id, text, spans0, spans1, ...): the table's own row as one column, so that no name of its columns matters.
-
-    With ``fill``, text is the filled one, which spans count by.
-    """
-    whole = text_or_empty(text)
-    whole = F.pandas_udf(_fill, "string")(whole) if fill else whole
-    out = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), whole.alias("text"))
+def _with_spans(docs: DataFrame, id_column: str, text: str, found: list[tuple[Unit, str]]) -> DataFrame:
+    """(row, id, text, spans0, spans1, ...): the table's own row as one column, so that no name of its columns matters."""
+    out = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), text_or_empty(text).alias("text"))
     plain = out.select("id", "text")
     for i, (unit, keep) in enumerate(found):
         spans = repeated_spans(plain, unit, keep).select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("spans").alias(f"spans{i}"))
@@ -475,22 +472,24 @@ def removal_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     return out.withColumnRenamed("id", id_column)
 
 
-def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: Unit = BYTES, keep: str = "first", fill: bool = False
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: Unit = BYTES, keep: str = "first") -> DataFrame:
     """The table with repeated bytes taken out of its texts; runs shrink to whole characters.
 
-    With ``fill``, lengths are those of the texts with short words filled up.
+    Lengths of a filled unit are those of the texts with short words filled up.
     """
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, compared: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for t, c, s in zip(texts, compared, spans, strict=True):
-            raw, c = t.encode("utf-8", "replace"), c.encode("utf-8", "replace")
+        for t, s in zip(texts, spans, strict=True):
+            if not len(s):
+                out.append(t)
+                continue
+            raw = t.encode("utf-8", "replace")
+            c = symbols([t], unit)[0]
             runs = merged(s, len(c))
-            if fill and runs:
-                real = np.r_[0, np.cumsum(np.frombuffer(c, dtype=np.uint8) != 0)]
+            if unit.filled:
+                real = np.r_[0, np.cumsum(c != 0)]
                 runs = [(int(real[x]), int(real[y])) for x, y in runs]
             kept, at = [], 0
             for x, y in runs:
@@ -504,10 +503,9 @@ def remove_repeats(
             out.append(b"".join(kept).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    joined = _with_spans(docs, id_column, text, [(unit, keep)], fill)
+    joined = _with_spans(docs, id_column, text, [(unit, keep)])
     spans = F.coalesce("spans0", F.array().cast(joined.schema["spans0"].dataType))
-    own = F.col("row")[text]
-    new = F.when(F.col("spans0").isNull(), own).otherwise(cut(F.coalesce(own.cast("string"), F.lit("")), "text", spans))
+    new = F.when(F.col("spans0").isNull(), F.col("row")[text]).otherwise(cut("text", spans))
     return joined.select(F.col("row").withField(f"`{text}`", new).alias("row")).select("row.*")
 
 
@@ -518,4 +516,4 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     least: gaps and inner words by the sum above, and LENGTH bytes less a first
     word cut short.  A passage of 40 to 50 longer words can have as many.
     """
-    return remove_repeats(docs, id_column, text, PASSAGE, keep, fill=True)
+    return remove_repeats(docs, id_column, text, PASSAGE, keep)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,20 @@ def test_prediction_by_partial_matching(spark, docs):
         assert r.base_score == pytest.approx(sum(np.log10((words[w] + 1) / (n + v + 1)) for w in toks), rel=1e-9)
 
 
+def test_quality_counts_against_brute_force(spark, docs):
+    got = QUERIES["op2_quality_rules"](spark, SF).toPandas().set_index("doc_id")
+    space = "\x20\x09\x0a\x0b\x0c\x0d"
+    for d, t in zip(docs.doc_id, docs.text):
+        words = [w for w in re.split(f"[{space}]+", t) if w]
+        lines = [x for x in t.split("\n") if x.strip(space)]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        inside = {i + j for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in range(3)}
+        r = got.loc[d]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(inside))
+        assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words)) and not (r.base_failed and r.kept)
+
+
 def test_near_duplicates(spark, docs):
     got = QUERIES["op3_chosen_path_join"](spark, SF).toPandas().set_index("doc_id")
     sets = []
@@ -253,6 +268,98 @@ def test_block_max_search_is_exact():
         assert [-s for s, _ in index.search(q, 15)] == pytest.approx([s for s, _ in want])
 
 
+def test_forward_backward_against_all_labellings():
+    rng = np.random.default_rng(3)
+    sizes = [1, 4, 2, 5, 1]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    score, trans = rng.normal(size=len(owner)), rng.normal(size=(2, 2))
+    good, edges, z = line_crf.forward_backward(score, owner, trans)
+    want, pairs, total = np.zeros(len(owner)), np.zeros((2, 2)), 0.0
+    for d in range(len(sizes)):
+        at = np.flatnonzero(owner == d)
+        ways = []
+        for code in range(1 << len(at)):
+            y = [code >> j & 1 for j in range(len(at))]
+            ways.append((y, np.exp(sum(score[i] for i, v in zip(at, y) if v) + sum(trans[a, b] for a, b in zip(y, y[1:])))))
+        part = sum(w for _, w in ways)
+        total += np.log(part)
+        for y, w in ways:
+            want[at] += np.array(y) * w / part
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += w / part
+    assert good == pytest.approx(want) and edges == pytest.approx(pairs) and z == pytest.approx(total)
+
+
+def test_line_labels_are_latent():
+    rng = np.random.default_rng(0)
+    docs = 600
+    n, y = rng.integers(3, 25, docs), rng.integers(0, 2, docs)
+    owner = np.repeat(np.arange(docs), n)
+    lines = (rng.random(len(owner)) < np.where(y[owner] == 1, 0.8, 0.2)).astype(int)  # documents of both kinds hold both
+    x = np.zeros((len(owner), line_crf.WIDTH), dtype=bool)
+    x[:, -1] = True
+    x[:, 0] = rng.random(len(owner)) < np.where(lines == 1, 0.05, 0.9)
+    x[:, 3] = rng.random(len(owner)) < np.where(lines == 1, 0.1, 0.8)
+    patterns, line = np.unique(x, axis=0, return_inverse=True)
+    model = line_crf.LineCrf()
+    model.fit(patterns, line, owner, np.ones(len(owner)), y)
+    good, _, _ = line_crf.forward_backward((patterns @ model.w)[line], owner, model.trans)
+    assert ((good >= 0.5) == lines).mean() >= 0.88 > 0.85 > ((good >= 0.5) == y[owner]).mean()
+
+
+def test_toxicity_votes_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 3 != 0)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    known = [i for i in rows if i in label and i % 3]
+    df = Counter(w for t in rows.values() for w in set(toxicity.terms_of(t)))
+    bags = {i: toxicity.terms_of(t) for i, t in rows.items()}
+    words = {w for i in known for w in bags[i]}
+    n, n1 = len(known), sum(label[i] for i in known)
+    value = {}
+    for w in words:
+        a, b = (sum(label[i] == c and w in bags[i] for i in known) for c in (1, 0))
+        c, d = n1 - a, n - n1 - b
+        below = (a + b) * (c + d) * (a + c) * (b + d)
+        z = abs(a * d - b * c) * (n / below) ** 0.5 if below else 0.0
+        value[w] = (np.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + max(z - toxicity.CHANCE, 0))
+
+    def vector(i):
+        v = {w: (1 + np.log(k)) * value[w] for w, k in bags[i].items() if w in value}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(i) for i in rows}
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i in list(rows)[:60]:
+        sims = sorted(((sum(x * vectors[j].get(w, 0.0) for w, x in vectors[i].items()), j) for j in known), reverse=True)[: toxicity.NEIGHBOURS]
+        votes = [(s**toxicity.POWER * model.weights[label[j]], label[j]) for s, j in sims if s > 0]
+        share = (sum(w for w, y in votes if y) + model.prior * model.base) / (sum(w for w, _ in votes) + model.prior)
+        z = model.slope * np.log(share / (1 - share)) + model.offset
+        assert got[i]["toxicity"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+        assert got[i]["evidence"] or not vectors[i]
+
+
+def test_scores_keep_columns_of_any_name(spark):
+    names = "doc_id long, text string, row string, _tox string, tox string, good string, votes string, n_words string, _t string, _words string, _lines string, labels string, score string, _low string, _gate string, _scan string"
+    rows = [(i, t, *"abcdefghijklmn") for i, t in enumerate(["one two three", None, "the MIT license\n" * 30, ""])]
+    table = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(0, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    train = F.col("doc_id") >= 0
+    tox = toxicity.score_toxicity(table, toxicity.fit(table, labels, train))
+    crf = line_crf.score_lines(table, line_crf.fit(table, labels, train))
+    lic, rules = license_scan.scan_licenses(table), quality_rules.score_quality(table)
+    for out in (tox, crf, lic, rules):
+        given = [c for c in table.columns if c not in ("doc_id", "text") and c not in (*license_scan.RESULT, *quality_rules.RESULT)]
+        assert set(table.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        got = out.collect()
+        want = dict(zip(table.columns[2:], "abcdefghijklmn"))
+        assert len(got) == 4 and all(r[c] == want[c] for r in got for c in given)
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = pd.read_parquet(f"{sf}/labels.parquet")
@@ -278,6 +385,19 @@ def test_pipeline_against_its_stages(spark):
     assert set(out.doc_id) == {r["doc_id"] for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = "doc_id long, text string, good boolean, n_words string, votes string, _t string, _words string, row string, spans0 string, _kept string, tox string, toxicity string, evidence string"
+    rows = [(i, f"{t} and some more words of this very text, number {i}, " * 3, None, *"abcdefghij") for i, t in enumerate(["one two three", "four five six", "seven eight nine"])]
+    rows += [(None, None, None, *"abcdefghij"), (7, "", None, *"abcdefghij")]
+    kept = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == [c.split()[0] for c in names.split(", ")], name
+        assert all([r[c] for c in kept.columns[3:]] == list("abcdefghij") for r in kept.collect()), name
+
+
 def test_pipeline_catches_passages_of_51_words(spark):
     import corpus_pipeline
 
@@ -317,6 +437,78 @@ def test_near_duplicate_recall_holds_at_depth(spark, monkeypatch):
     assert sum(frozenset((f"a{i}", f"b{i}")) in found for i in range(pairs)) >= 0.995 * pairs
 
 
+def test_near_duplicates_of_odd_ids_and_names(spark):
+    rng = random.Random(9)
+    b1, b2, b3 = (" ".join("".join(rng.choices("abcdefg", k=4)) for _ in range(80)) for _ in range(3))
+    rows = [(1, b1), (1, b2), (2, b1 + " q"), (3, b2 + " q"), (None, b3), (None, b3 + " q"), (None, None), (None, ""), (1, b1)]
+    names = "doc_id long, text string, id string, fp string, row string, key string, kept string, _kept string, text_key string"
+    table = spark.createDataFrame([(*r, *"tuvwxyz") for r in rows], names)
+    got = Counter(tuple(r) for r in near_duplicates.near_duplicate_classes(table).select("doc_id", "class_id", "class_size").collect())
+    assert got == Counter([(1, 1, 3), (1, 1, 3), (2, 1, 3), (1, 1, 2), (3, 1, 2), (None, None, 2), (None, None, 2), (None, None, 1), (None, None, 1)])
+    kept = near_duplicates.keep_first(table)
+    assert kept.columns == table.columns
+    kept = kept.collect()
+    assert all((r["id"], r["fp"], r["row"], r["key"], r["kept"], r["_kept"], r["text_key"]) == tuple("tuvwxyz") for r in kept)
+    assert sum((r["doc_id"], r["text"]) == (1, b1) for r in kept) == sum((r["doc_id"], r["text"]) == (1, b2) for r in kept) == 1
+    assert len(kept) == 5 and sum((r["text"] or "").startswith(b3) for r in kept) == 1
+
+
+def test_large_buckets_meet_their_hubs(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BUCKET", 4)
+    monkeypatch.setattr(near_duplicates, "PART", 16)
+    rng = np.random.default_rng(6)
+    k = near_duplicates.COORDINATES
+    base, other = rng.integers(0, 1 << 32, (2, k), dtype=np.uint32)
+
+    def like(x, share):
+        return np.where(rng.random(k) < share, x, rng.integers(0, 1 << 32, k, dtype=np.uint32))
+
+    rows = [("a%d" % i, like(base, 0.92).tobytes()) for i in range(150)] + [("b%d" % i, like(other, 0.92).tobytes()) for i in range(20)]
+    sets = spark.createDataFrame(rows, "fp string, hashes binary")
+    edges = near_duplicates.candidate_edges(sets, near_duplicates.THRESHOLD, near_duplicates.RECALL)
+    parts = near_duplicates.connected_components(edges).collect()
+    assert len({r["component"] for r in parts if r["node"][0] == "a"}) == len({r["component"] for r in parts if r["node"][0] == "b"}) == 1
+    assert len(parts) == 170 and len({r["component"] for r in parts}) == 2
+
+
+def brute_licences(text):
+    """Base places and swept labels by plain scans over the whole text: no gate, no windows, no keywords."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(license_scan.NOT_WORD, low) if w]
+    base = [(i, label) for i in range(len(words)) for phrase, label in license_scan.BASE if tuple(words[i : i + len(phrase)]) == phrase]
+    line, hits = " ".join(words), []
+    rules = [(label, p, c, pattern) for label, p, c, _, pattern in license_scan.WRITTEN]
+    rules += [(label, p, c, form.replace("{}", f"(?:{name})")) for label, name in license_scan.NAMES for p, c, form in license_scan.FORMS]
+    for label, p, c, pattern in rules:
+        for m in re.finditer(rf"(?:^| ){pattern}(?= |$)", line):
+            found = m[0].strip()
+            start = len(line[: m.start() + m[0].startswith(" ")].split(" ")) - 1
+            hits.append((start, -(start + len(found.split(" "))), -p, label, c))
+    kept = [h for h in hits if not any(g != h and g[0] <= h[0] and -g[1] >= -h[1] and -g[2] >= -h[2] and (g < h or g[:3] != h[:3]) for g in hits)]
+    labels = {h[3] for h in kept} | {x for _, x in base}
+    return len(words), base, labels, max((h[4] for h in kept), default=0.0)
+
+
+def test_licences_against_brute_force(spark, docs):
+    made = [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software\nThe above copyright notice and this permission notice shall be included in all copies",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: BSD-3-Clause. See the mit license, the zlib license and the mit license again; the software shall be used for Good, not Evil.",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. All rights reserved, proprietary and confidential.",
+        "CC0 1.0 Universal", "subject to nothing", "", None, "license " * 40,
+    ]
+    texts = [*docs.text, *made]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(rows).collect()}
+    for i, t in enumerate(texts):
+        n, base, labels, score = brute_licences(t)
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (n, len(base), ",".join(sorted({x for _, x in base})))
+        assert (r["first_word"], r["last_word"]) == ((base[0][0], base[-1][0]) if base else (None, None))
+        assert (set(filter(None, r["labels"].split(","))), r["score"]) == (labels, pytest.approx(score)), t
+
+
 def test_licence_gate_takes_words_apart(spark):
     texts = ["All rights\nreserved.", "dedicated to the public-domain", "is distributed\n# under MIT", "subject  to\nthe MIT", "provided 'as-is', without any express or implied warranty", "AVAILABLE\n * UNDER zlib", "subject of a public (open) domain"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
