@@ -221,6 +221,27 @@ def test_sentencepiece_is_exact(docs):
         assert ids == lib.encode(t)
 
 
+def test_chunks_learned_together_have_the_ids_of_their_texts():
+    """New words need no special token between them, one odd word doesn't part the others, and ids are those of whole texts."""
+    t = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name, real=t.tokenizer):
+            f = getattr(real, name)
+            return lambda *a, **k: (calls.append(a), f(*a, **k))[1]
+
+    rng = random.Random(5)
+    real, t.tokenizer = t.tokenizer, Counted()
+    words = ["".join(rng.choices("abcdeéüßñXYZ019²¼.,!*_-\tªµ", k=rng.randint(1, 9))) for _ in range(3000)]
+    t.encode([" ".join(words)]).__next__()
+    assert len(calls) <= 4 and not any("<|" in c[0][0] for c in calls)
+    odd = ["", "don't", "it's'", "İstanbul", "e\u0301te\u0301", "\u0301x", "日本語", "😀a", "a<|endoftext|>b", "<|startoftext|>", "\u2028", "x" * 3000, "</w>", "w</w>", "\0", "a\x1cb", "\x85c\xa0", "\xad"]
+    for _ in range(60):
+        text = rng.choice([" ", "\n", "  "]).join(rng.choices(odd + words, k=40))
+        assert next(t.encode([text])) == np.array(real.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_packing_is_valid_and_tight(spark, docs):
     from tokenizers import Tokenizer
 
