@@ -161,11 +161,25 @@ def anchored_pieces(strings: list[np.ndarray], unit: Unit) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in cols)
 
 
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Rank of each key among those that occur twice or more, -1 for the others."""
+    order = np.argsort(key)
+    s = key[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+    n = np.diff(np.r_[first, len(s)])
+    rank = np.where(n > 1, np.cumsum(n > 1) - 1, -1)
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.repeat(rank, n)
+    return out
+
+
 def suffix_ranks(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Rank of each start's ``length`` symbols in suffix order, equal for equal strings, by prefix doubling.
 
     ``ends``: for every symbol, where its piece ends; strings don't cross it.
-    Eight bytes, or one word, are what the ranks begin with.
+    Eight bytes, or one word, are what the ranks begin with.  What holds a
+    string that occurs once occurs once itself, so it is not sorted again, and
+    its start comes after all that repeat, in the order given.
     """
     n = len(raw)
     key = raw
@@ -176,27 +190,42 @@ def suffix_ranks(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
         for j in range(8):
             key = (key << np.uint64(8)) | padded[j : j + n]
         k = 8
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    # A string that would cross its piece's end is one that no window uses.
+    at = np.flatnonzero(np.arange(n) + k <= ends)
+    rank = np.full(n, -1, dtype=np.int64)
+    rank[at] = _repeated(key[at])
     # Three ranks fit in one key in a shard of usual size, so a step triples the length.
     bits = int(n).bit_length() + 1
     fold = 3 if 3 * bits <= 63 else 2
-    at = np.arange(n)
-    # A string that would cross its piece's end gets a rank that no window uses.
+
+    def joined(places: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places whose strings at all offsets repeat: which, and their ranks side by side."""
+        of = np.flatnonzero(rank[places] >= 0)
+        key = rank[places[of]]
+        for o in offsets:
+            r = rank[places[of] + o]
+            ok = r >= 0
+            of, key = of[ok], (key[ok] << bits) | r[ok]
+        return of, key
+
     while fold * k <= length:
-        key = rank.copy()
-        for j in range(1, fold):
-            key <<= bits
-            key |= rank[np.minimum(at + j * k, n - 1)]
-        key[at + fold * k > ends] = -1
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        at = at[at + fold * k <= ends[at]]
+        of, key = joined(at, [j * k for j in range(1, fold)])
+        at, rank = at[of], np.full(n, -1, dtype=np.int64)
+        rank[at] = _repeated(key)
         k *= fold
     # Overlapping strings of k symbols cover the rest.
-    offsets = [*range(0, length - k, k), length - k]
-    rank_at = rank[starts]
-    for o in offsets[1:]:
-        pair = rank_at * (n + 1) + rank[starts + o]
-        rank_at = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    return rank_at
+    left = np.arange(len(starts))
+    of, rank_at = joined(starts, [])
+    left = left[of]
+    for o in [*range(k, length - k, k), length - k]:
+        r = rank[starts[left] + o]
+        ok = (r >= 0) & (rank_at >= 0)
+        left, rank_at = left[ok], _repeated((rank_at[ok] << bits) | r[ok])
+    out = np.arange(n, n + len(starts))
+    again = rank_at >= 0
+    out[left[again]] = rank_at[again]
+    return out
 
 
 def previous_factor(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -242,6 +242,28 @@ def test_chunks_learned_together_have_the_ids_of_their_texts():
         assert next(t.encode([text])) == np.array(real.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@pytest.mark.parametrize(("symbols", "length"), [(3, 8), (2, 20), (4, 59), (3, 24), (2, 400)])
+def test_strings_that_occur_once_are_not_sorted_again(monkeypatch, symbols, length):
+    """Equal ranks for equal strings and no others; what can't repeat leaves the sort."""
+    rng = random.Random(symbols * length)
+    for words in (False, True):
+        base = [bytes(rng.choices(range(97, 97 + symbols), k=length + 40)) for _ in range(4)]
+        data = [rng.choice(base)[rng.randint(0, 20) :] for _ in range(12)] + [bytes(rng.choices(range(256), k=length + 30)) for _ in range(12)]
+        size = np.array([len(d) for d in data])
+        first, n = np.cumsum(size) - size, size - length + 1
+        raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+        starts = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        sorted_ = []
+        monkeypatch.setattr(np, "argsort", lambda k, real=np.argsort, **kw: (sorted_.append(len(k)), real(k, **kw))[1])
+        got = suffix_dedup.suffix_ranks(raw.astype(np.uint64) if words else raw, np.repeat(first + size, size), starts, length)
+        monkeypatch.undo()
+        of = {}
+        for r, s in zip(got.tolist(), starts.tolist(), strict=True):
+            assert of.setdefault(raw[s : s + length].tobytes(), r) == r
+        assert len(set(of.values())) == len(of)
+        assert not sorted_[1:] or sorted_[-1] < 0.7 * len(raw)
+
+
 def test_packing_is_valid_and_tight(spark, docs):
     from tokenizers import Tokenizer
 
