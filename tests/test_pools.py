@@ -69,3 +69,17 @@ def test_only_pools_that_are_searched_are_formed(spark):
     got = {r["txn_id"]: (r["verdict"], r["pool_size"]) for r in M.open_search(credits, pay).collect()}
     old = {r["txn_id"]: (r["verdict"], r["pool_size"]) for r in M.subset_sum(credits, M.candidate_pool(credits, pay)).collect()}
     assert got == old and got["big"] == ("pool_exceeded", 38) and got["none"] == ("no_candidate", 0)
+
+
+def test_pools_of_several_days_come_back_as_one_column(spark):
+    """Where pandas keeps strings in Arrow, what days' columns are joined to must not come in pieces."""
+    env = spark.sparkContext.environment
+    env["PANDAS_FUTURE_INFER_STRING"] = "1"
+    try:
+        days = "date_add(date'2020-01-10', cast(id as int))"
+        pay = spark.range(9).selectExpr("concat('p', id) as payment_id", "1 as merchant_id", f"{days} as pay_date", "id * 1000 as lo", "id * 1000 as hi")
+        credits = spark.range(9).selectExpr("concat('c', id) as txn_id", "1 as merchant_id", "id * 1000 as credit", f"{days} as txn_date")
+        got = M.over_pools(credits, pay, M.nearest, "txn_id string, payment_id string, residual long").collect()
+    finally:
+        del env["PANDAS_FUTURE_INFER_STRING"]
+    assert sorted(map(tuple, got)) == [(f"c{i}", f"p{i}", 0) for i in range(9)]
